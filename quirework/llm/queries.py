@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import bpe, line_dedup, minhash, mixing, quality_rules, topk
+from quirework.llm import bpe, license_scan, line_dedup, minhash, mixing, quality_rules, topk
 from quirework.session import table
 
 QUERIES, SQL = {}, {}
@@ -92,3 +92,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """)
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query(license_scan.scan_sql())
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the number of its licence notices, the best coefficient and the licences."""
+    out = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array_join(F.array_sort(F.array_distinct(F.col("_hits.license"))), ",")
+    return out.select("doc_id", F.size("_hits").cast("long").alias("n_notices"), F.array_max("_hits.dice").alias("best_dice"), names.alias("licenses"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import bpe, license_scan, line_dedup, minhash, mixing, quality_rules, topk
-from quirework.session import table
+from quirework.llm import bpe, html_extract, license_scan, line_dedup, minhash, mixing, quality_classifier, quality_rules, topk, warc
+from quirework.session import shared_dir, table
 
 QUERIES, SQL = {}, {}
 
@@ -100,3 +100,19 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = F.array_join(F.array_sort(F.array_distinct(F.col("_hits.license"))), ",")
     return out.select("doc_id", F.size("_hits").cast("long").alias("n_notices"), F.array_max("_hits.dice").alias("best_dice"), names.alias("licenses"))
+
+
+@query()
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query()
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), shared_dir(spark))

@@ -1,2 +1,25 @@
-"""Registered queries and their SQL."""
-QUERIES, SQL = {}, {}
+"""Registered queries and, where SQL can say them, their SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+from quirework.plans import sequence_queries, text_queries, tree_queries  # noqa: E402, F401  they register themselves

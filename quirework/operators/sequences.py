@@ -70,8 +70,9 @@ def anchored_clusters(rows: DataFrame, key: Sequence[str], by: str, tolerance: f
     kind = "array<struct<anchor:double,n:bigint>>"
 
     def step(acc: Column, x: Column) -> Column:
-            opens = (F.size(acc) == 0) | (x["v"] - F.get(acc, F.size(acc) - 1)["anchor"] > tolerance)
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.get(acc, F.size(acc) - 1)["anchor"].alias("anchor"), (F.get(acc, F.size(acc) - 1)["n"] + x["n"]).alias("n"))))
+        last = F.get(acc, F.size(acc) - 1)
+        opens = (F.size(acc) == 0) | (x["v"] - last["anchor"] > tolerance)
+        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["anchor"].alias("anchor"), (last["n"] + x["n"]).alias("n"))))
         return F.when(opens, F.concat(acc, F.array(F.struct(x["v"].alias("anchor"), x["n"].alias("n"))))).otherwise(grown).cast(kind)
 
     folded = listed.withColumn("_c", F.aggregate("_l", F.array().cast(kind), step))

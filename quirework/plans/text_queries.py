@@ -135,7 +135,7 @@ def value_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH m AS (SELECT l_orderkey, l_returnflag AS style, l_linenumber AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_quantity) AS pl FROM lineitem),
 n AS (SELECT *, CASE WHEN o = lag(o, 1, -1000000000) OVER (PARTITION BY l_orderkey, style ORDER BY pl) + 1 THEN 0 ELSE 1 END AS new FROM m),
 r AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey, style ORDER BY pl) AS run FROM n),
-g AS (SELECT l_orderkey, style, run, count(*) AS length, min(o) AS first_ordinal, min(at) AS pl FROM r GROUP BY ALL)
+g AS (SELECT l_orderkey, style, run, count(*) AS length, min(o) AS first_ordinal, min(pl) AS pl FROM r GROUP BY ALL)
 SELECT l_orderkey, style, first_ordinal, length FROM g QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY length DESC, CASE style WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 ELSE 99 END, pl) = 1
 """)
 def part_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

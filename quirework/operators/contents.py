@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions.grouped import by_runs
 
-ENTRY = re.compile(r"^\s*(?:(?P<word>chapter|kapitel|part|teil)\s+)?(?P<label>\d{1,3}(?:\.\d{1,3}){0,2}|[IVXLC]{1,6})?[.:]?\s*(?P<title>\D.*?)\s*(?P<leader>(?:\.\s?){2,}|\s{3,}|\s)(?P<page>\d{1,4})\s*$", re.I)
+ENTRY = re.compile(r"^\s*(?:(?P<word>chapter|kapitel|part|teil)\s+)?(?P<label>\d{1,3}(?:\.\d{1,3}){0,2}|[IVXLC]{1,6}(?![^\W\d_]))?[.:]?\s*(?P<title>\D.*?)\s*(?P<leader>(?:\.\s?){2,}|\s{3,}|\s)(?P<page>\d{1,4})\s*$", re.I)
 ENTRIES = "book_id string, page int, line_idx int, kind string, label string, title string, printed_page int, strong boolean"
 
 

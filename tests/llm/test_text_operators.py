@@ -45,7 +45,7 @@ def test_line_dedup_of_repeated_rows_and_empty_tables(spark):
 
 def test_licence_notices(spark):
     rows = [
-        doc(1, "Some words.\nLicensed under the Apache License, Version 2.0.\nMore."), doc(2, "LICENSED UNDER CC BY-NC 4.0"), doc(3, "licensed to drive"), doc(4, None), doc(5, ""), doc(6, "word " * 50_000),
+        doc(1, "Some words that go before and are no notice at all.\nLicensed under the Apache License, Version 2.0.\nMore."), doc(2, "LICENSED UNDER CC BY-NC 4.0"), doc(3, "licensed to drive"), doc(4, None), doc(5, ""), doc(6, "word " * 50_000),
         doc(7, "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
     ]
     got = {r.doc_id: [(h.license, round(h.dice, 3)) for h in r._hits] for r in license_scan.scan(docs(spark, rows)).collect()}

@@ -177,3 +177,94 @@ def check_strays(frames: DataFrame) -> DataFrame:
 def pages_to_read(regions: DataFrame, reach: int = 2) -> DataFrame:
     """(book_id, page): the pages that a check of the regions needs, and their neighbours."""
     return regions.select("book_id", F.explode(F.sequence(F.greatest(F.col("page") - reach, F.lit(0)), F.col("page") + reach)).alias("page")).distinct()
+
+
+def check_spans(lines: DataFrame, regions: DataFrame) -> DataFrame:
+    """span-gap: text between two regions of one item on a page, covered by none of its regions."""
+    own = regions.filter("role = 'item'").select("book_id", "page", "id", F.col("rect.top").alias("top"), F.col("rect.bottom").alias("bottom"), F.col("rect.left").alias("left"), F.col("rect.right").alias("right"))
+    w = Window.partitionBy("book_id", "id", "page").orderBy("top")
+    gaps_ = own.withColumn("_end", F.lag("bottom").over(w)).filter(F.col("_end") < F.col("top")).select("book_id", "page", "id", F.col("_end").alias("lo"), F.col("top").alias("hi"), "left", "right")
+    l = lines.filter(~F.coalesce("header_footer", F.lit(False))).select("book_id", "page", "line_idx", "rect", F.col("rect.top").alias("lo"), F.col("rect.bottom").alias("hi"))  # noqa: E741
+    j = geometry.overlaps(l, gaps_, ["book_id", "page"], "lo", "hi", 0.125)
+    middle, centre = (F.col("a_lo") + F.col("a_hi")) / 2, (F.col("a_rect.left") + F.col("a_rect.right")) / 2
+    hit = j.filter((middle > F.col("b_lo")) & (middle < F.col("b_hi")) & (centre >= F.col("b_left")) & (centre <= F.col("b_right")))
+    return _out(hit.select(F.col("a_book_id").alias("book_id"), F.col("b_id").alias("id"), F.col("a_page").alias("page")).distinct(), "span-gap", F.col("id"), F.col("page"))
+
+
+def check_open_ends(lines: DataFrame, regions: DataFrame, pitch: float = 1.2, reach: float = 0.8) -> DataFrame:
+    """region-open-end: a line goes on right under a region, within 1.2 of its height, whose last line reaches as far as the region does."""
+    inside = geometry.lines_in_regions(lines.select("book_id", "page", "line_idx", "text", "rect"), regions.filter("role = 'item'").select("book_id", "page", "id", "rect"), ["book_id", "page"])
+    w = Window.partitionBy("r_book_id", "r_page", "r_id").orderBy(F.col("l_rect.bottom").desc())
+    last = inside.withColumn("_r", F.row_number().over(w)).filter("_r = 1").filter(F.col("l_rect.right") - F.col("l_rect.left") >= reach * (F.col("r_rect.right") - F.col("r_rect.left")))
+    covered = inside.select(F.col("l_book_id").alias("book_id"), F.col("l_page").alias("page"), F.col("l_line_idx").alias("line_idx")).distinct()
+    free = lines.filter(~F.coalesce("header_footer", F.lit(False))).join(covered, ["book_id", "page", "line_idx"], "left_anti").filter(labels.item_start(F.trim("text")).isNull() & ~L.line_class(F.col("text")).isin("heading", "furniture"))
+    f = free.select("book_id", "page", "rect", F.col("rect.top").alias("lo"), F.col("rect.bottom").alias("hi"))
+    under = last.select(F.col("r_book_id").alias("book_id"), F.col("r_page").alias("page"), F.col("r_id").alias("id"), F.col("l_rect").alias("rect"), F.col("l_rect.bottom").alias("lo"), (F.col("l_rect.bottom") + pitch * (F.col("l_rect.bottom") - F.col("l_rect.top"))).alias("hi"))
+    j = geometry.overlaps(f, under, ["book_id", "page"], "lo", "hi", 0.125).filter((F.col("a_lo") >= F.col("b_lo") - 1e-9) & (F.abs(F.col("a_rect.left") - F.col("b_rect.left")) < 0.08))
+    return _out(j.select(F.col("a_book_id").alias("book_id"), F.col("b_id").alias("id"), F.col("a_page").alias("page")).distinct(), "region-open-end", F.col("id"), F.col("page"))
+
+
+def check_limits(regions: DataFrame, most: int = C.MAX_REGIONS) -> DataFrame:
+    """continuation-limit: items that use every region they may."""
+    g = regions.filter("role = 'item'").groupBy("book_id", "id").agg(F.count(F.lit(1)).alias("_n"), F.max("page").alias("page")).filter(F.col("_n") > most)
+    return _out(g, "continuation-limit", F.col("id"), F.col("page"))
+
+
+def check_answers(lines: DataFrame, regions: DataFrame, bands: DataFrame) -> DataFrame:
+    """answer-left-behind: numbered lines of an answer band that no answer holds; answer-clipped: an edge of an answer through a line.
+
+    bands(book_id, page, section, top, bottom)."""
+    answers = regions.filter("role = 'solution'")
+    left = check_coverage(lines, answers, bands.select("book_id", "section", "page", "top", "bottom")).filter("code = 'numbered-text-left-behind'")
+    clipped = geometry.cut_lines(lines.select("book_id", "page", "line_idx", "rect"), answers.select("book_id", "page", "id", "rect"), ["book_id", "page"])
+    cut = clipped.select(F.col("b_book_id").alias("book_id"), F.col("b_id").alias("id"), F.col("b_page").alias("page")).distinct()
+    return _out(left, "answer-left-behind", F.col("ref"), F.col("page")).unionByName(_out(cut, "answer-clipped", F.col("id"), F.col("page")))
+
+
+def check_inline(lines: DataFrame, regions: DataFrame, zones: DataFrame, items: int = 3, percent: int = 60) -> DataFrame:
+    """inline-section: a section of fewer than three items, or of whose lines less than three fifths are covered."""
+    inside = geometry.lines_in_regions(lines.select("book_id", "page", "line_idx", "rect"), regions.filter("role = 'item'").select("book_id", "page", "id", "rect"), ["book_id", "page"]).select(F.col("l_book_id").alias("book_id"), F.col("l_page").alias("page"), F.col("l_line_idx").alias("line_idx"), F.col("r_id").alias("id")).dropDuplicates(["book_id", "page", "line_idx"])
+    z = zones.select("book_id", "page", "section", F.col("top").alias("lo"), F.col("bottom").alias("hi"))
+    l = lines.select("book_id", "page", "line_idx", F.col("rect.top").alias("lo"), F.col("rect.bottom").alias("hi"))  # noqa: E741
+    j = geometry.overlaps(l, z, ["book_id", "page"], "lo", "hi", 0.125).select(F.col("a_book_id").alias("book_id"), F.col("a_page").alias("page"), F.col("a_line_idx").alias("line_idx"), F.col("b_section").alias("section")).distinct().join(inside, ["book_id", "page", "line_idx"], "left")
+    g = j.groupBy("book_id", "section").agg(F.count(F.lit(1)).alias("_n"), F.count("id").alias("_c"), F.count_distinct("id").alias("_items"), F.min("page").alias("page"))
+    return _out(g.filter((F.col("_items") < items) | (F.col("_c") * 100 < F.col("_n") * percent)), "inline-section", F.col("section"), F.col("page"))
+
+
+def check_nearest_context(contexts: DataFrame, items: DataFrame) -> DataFrame:
+    """context-not-nearest: between an item's context and the item another instruction of its section stands that isn't attached to it.
+
+    contexts(book_id, section, item_id, page, top, attached); items(book_id, section, id, label, page, top)."""
+    at = lambda p, t: F.col(p) * 10.0 + F.col(t)
+    i = items.select("book_id", "section", F.col("id").alias("item_id"), "label", F.col("page").alias("item_page"), at("page", "top").alias("_item"))
+    own = contexts.filter("attached").withColumn("_own", at("page", "top")).groupBy("book_id", "section", "item_id").agg(F.max("_own").alias("_own")).join(i, ["book_id", "section", "item_id"])
+    others = contexts.select("book_id", "section", F.struct(at("page", "top").alias("at"), F.col("item_id").alias("whose")).alias("o")).groupBy("book_id", "section").agg(F.collect_set("o").alias("_all"))
+    j = own.join(others, ["book_id", "section"])
+    between = F.exists("_all", lambda o: (o["at"] > F.col("_own")) & (o["at"] < F.col("_item")))
+    return _out(j.filter(between), "context-not-nearest", ref(), F.col("item_page"))
+
+
+def check_edges(regions: DataFrame, pictures: DataFrame) -> DataFrame:
+    """edge-on-ink: an edge of a region cuts dark pixels; edge-interlocked: it does and there is no clean place near.
+
+    pictures(book_id, page, bits, width, height): a page's picture meets the regions of that page in one task."""
+    import pandas as pd
+
+    from quirework.functions import ink
+    from quirework.functions.grouped import by_runs
+
+    j = regions.select("book_id", "page", "id", "rect.left", "rect.top", "rect.right", "rect.bottom").join(pictures.select("book_id", "page", "bits", "width", "height"), ["book_id", "page"])
+
+    def run(g: pd.DataFrame) -> pd.DataFrame | None:
+        dark = ink.unpacked(bytes(g["bits"].iloc[0]), int(g["width"].iloc[0]), int(g["height"].iloc[0]))
+        out = []
+        for r in g.itertuples():
+            rect = (r.left, r.top, r.right, r.bottom)
+            for side in ("left", "top", "right", "bottom"):
+                if ink.is_cut(ink.edge(dark, rect, side)):
+                    clean = ink.clean_edge(dark, rect, side)
+                    out.append((r.book_id, r.page, r.id, side, "edge-on-ink" if clean is not None else "edge-interlocked", clean))
+        return pd.DataFrame(out, columns=["book_id", "page", "id", "side", "code", "suggested"]) if out else None
+
+    found = by_runs(j, ["book_id", "page"], ["id"], run, "book_id string, page int, id string, side string, code string, suggested double")
+    return _out(found, F.col("code"), F.concat_ws(":", "id", "side"), F.col("page"))

@@ -136,3 +136,23 @@ def credits(line: Column) -> Column:
         value = F.regexp_extract(line, pattern, 1)
         found.append(F.when(value != "", F.struct(F.lit(field).alias("field"), (F.lit(instead) if instead else value).alias("value"))))
     return F.array_compact(F.array(*found))
+
+
+#: How parts of an item are marked, the first letter or number in group 1; of equal runs the earlier style wins.
+PART_STYLES = (("letter", r"^\(([a-z])\)"), ("roman", r"^\(([ivx]{1,5})\)"), ("number", r"^\((\d{1,2})\)"), ("letter-dot", r"^([a-z])[.)](?=\s)"), ("number-dot", r"^(\d{1,2})[.)](?=\s)"))
+
+
+def part_marks(line: Column) -> Column:
+    """The (style, mark) readings of a line that may begin a part: (i) is a letter and a Roman number."""
+    found = []
+    for name, pattern in PART_STYLES:
+        mark = F.regexp_extract(line, pattern, 1)
+        found.append(F.when(mark != "", F.struct(F.lit(name).alias("style"), mark.alias("mark"))))
+    return F.array_compact(F.array(*found))
+
+
+def part_ordinal(style: Column, mark: Column) -> Column:
+    """Which part a mark claims to be: a is 1, ii is 2, 3 is 3."""
+    romans = ("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi", "xii", "xiii", "xiv", "xv")
+    roman = F.array_position(F.array(*[F.lit(r) for r in romans]), mark).cast("int")
+    return F.when(style.startswith("letter"), F.ascii(mark) - 96).when(style == "roman", F.nullif(roman, F.lit(0))).otherwise(mark.try_cast("int"))

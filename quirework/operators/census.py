@@ -155,10 +155,12 @@ def select_sequence(rows: list[dict], max_jump: int = 3, tolerance: float = 0.02
     return [r for c in chains if c is longest or len(c) >= 2 for r in c]
 
 
-def kept_dividers(heights: list[float], least: float = 0.01) -> list[float]:
-    """Heights from the top, each at least that far below the one kept before."""
+def kept_dividers(heights: list[float], top: float = 0.0, bottom: float = 1.0, least: float = 0.01) -> list[float]:
+    """Heights from the top, each at least that far below the one kept before, the top and above the bottom."""
     out: list[float] = []
-    for h in sorted(heights):
-        if not out or h - out[-1] >= least:
+    for h in sorted(min(max(h, top), bottom) for h in heights):
+        if h - (out[-1] if out else top) >= least:
             out.append(h)
+    while out and bottom - out[-1] < least:
+        out.pop()
     return out

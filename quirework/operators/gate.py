@@ -201,37 +201,81 @@ def visual(entries: DataFrame, items: DataFrame) -> DataFrame:
     return j.select("book_id", "ref", F.explode(codes).alias("code"))
 
 
-def review_sample(items: list[dict], most: int = 40) -> list[tuple[str, list[str]]]:
-    """(id, reasons) of at most `most` items in reading order: every layout kind's first, each chapter's first and last, each
-    section's first, then an even stride over the rest. Reasons add up; the cap holds for items."""
-    chosen: dict[str, list[str]] = {}
-
-    def take(item: dict, why: str) -> None:
-        if item["id"] in chosen:
-            chosen[item["id"]].append(why)
-        elif len(chosen) < most:
-            chosen[item["id"]] = [why]
-
-    def firsts(key: str, why: str, last: bool = False) -> None:
-        ends: dict = {}
-        for x in items:
+def stride(n: int, count: int) -> list[int]:
+    """count of n places at an even stride, the first and the last among them; all where there are no more."""
+    return list(range(n)) if n <= count else sorted({k * n // count for k in range(count - 1)} | {n - 1}) if count > 1 else [n - 1][:count]
+
+
+class Picks:
+    """Items chosen up to a cap, with the reasons that add up for each."""
+
+    def __init__(self, most: int):
+        self.most, self.reasons = most, {}
+
+    def take(self, item: dict | None, why: str) -> None:
+        if item is None:
+            return
+        if item["id"] in self.reasons:
+            self.reasons[item["id"]].append(why)
+        elif len(self.reasons) < self.most:
+            self.reasons[item["id"]] = [why]
+
+    def rest(self, items: list[dict]) -> list[dict]:
+        left = [x for x in items if x["id"] not in self.reasons]
+        return [left[k] for k in stride(len(left), self.most - len(self.reasons))] if left and len(self.reasons) < self.most else []
+
+
+def _ends(items: list[dict], key: str) -> dict:
+    """The first and the last item of each value of key, in order of appearance."""
+    ends: dict = {}
+    for x in items:
+        if x[key] is not None:
             ends.setdefault(x[key], [x, x])[1] = x
-        for name, (a, b) in ends.items():
-            if name is not None:
-                take(a, f"{why} {name}: first")
-                if last and b is not a:
-                    take(b, f"{why} {name}: last")
-
-    firsts("layout", "layout")
-    firsts("chapter", "chapter", last=True)
-    firsts("section", "section")
-    rest = [x for x in items if x["id"] not in chosen]
-    room = most - len(chosen)
-    if room > 0 and rest:
-        places = range(len(rest)) if len(rest) <= room else sorted({k * len(rest) // room for k in range(room - 1)} | {len(rest) - 1})
-        for k in places:
-            take(rest[k], "stride")
-    return list(chosen.items())
+    return ends
+
+
+def review_sample(items: list[dict], most: int = 40) -> list[tuple[str, list[str]]]:
+    """(id, reasons) of at most `most` items in reading order: every layout kind's first, each chapter's and each section's first
+    and last (an even stride of sections where there is no room for all), then an even stride over the rest."""
+    picks = Picks(most)
+    for name, (a, _) in _ends(items, "layout").items():
+        picks.take(a, f"layout {name}: first")
+    for key in ("chapter", "section"):
+        ends = list(_ends(items, key).items())
+        if key == "section":
+            ends = [ends[k] for k in stride(len(ends), max(0, most - len(picks.reasons)) // 2)] if ends else []
+        for name, (a, b) in ends:
+            picks.take(a, f"{key} {name}: first")
+            if b is not a:
+                picks.take(b, f"{key} {name}: last")
+    for x in picks.rest(items):
+        picks.take(x, "stride")
+    return list(picks.reasons.items())
+
+
+def answer_sample(items: list[dict], sampled: list[tuple[str, list[str]]], most: int = 20) -> list[tuple[str, list[str]]]:
+    """(id, reasons) of the answers to review among items(id, layout, chapter, answer_lines, answer_at), answer_at null without an answer.
+
+    The answers of the sample's layout kinds; the one of most lines, if it has two; one without text; each chapter's first
+    in the key; those of the other sampled items; then an even stride over the rest.
+    """
+    answered = [x for x in items if x["answer_at"] is not None]
+    by_id, why, picks = {x["id"]: x for x in answered}, dict(sampled), Picks(most)
+    for i, reasons in sampled:
+        if reasons[0].startswith("layout"):
+            picks.take(by_id.get(i), "of a layout kind")
+    longest = max(answered, key=lambda x: x["answer_lines"], default=None)
+    if longest and longest["answer_lines"] >= 2:
+        picks.take(longest, "most lines")
+    picks.take(next((x for x in answered if x["answer_lines"] == 0), None), "a picture alone")
+    for name in dict.fromkeys(x["chapter"] for x in answered):
+        picks.take(min((x for x in answered if x["chapter"] == name), key=lambda x: x["answer_at"]), "first of a chapter's key")
+    for i in why:
+        if i in by_id:
+            picks.take(by_id[i], "of a sampled item")
+    for x in picks.rest(answered):
+        picks.take(x, "stride")
+    return list(picks.reasons.items())
 
 
 def stratified_sample(items: DataFrame, order: Sequence[str], most: int = 40) -> DataFrame:

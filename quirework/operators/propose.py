@@ -117,3 +117,15 @@ def match_blocks(blocks: DataFrame, sections: DataFrame) -> DataFrame:
     ranked = pairs.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
     by_title = ranked.filter((F.col("_r") == 1) & (F.col("score") >= 0.5) & (F.col("score") - F.col("_next") >= 0.15)).select("book_id", "block", "section", F.lit("title").alias("how"))
     return by_label.unionByName(by_title)
+
+
+def parts(lines: DataFrame) -> DataFrame:
+    """(book_id, item, style, first_ordinal, length): the best rising run of part marks of each item, of two marks at least.
+
+    lines(book_id, item, page, line_idx, text): an item's own lines.
+    """
+    from quirework.operators.statistics import rising_runs
+
+    m = lines.withColumn("_m", F.explode(L.part_marks(F.trim("text")))).select("book_id", "item", "page", "line_idx", "_m.style", L.part_ordinal(F.col("_m.style"), F.col("_m.mark")).alias("ordinal")).filter("ordinal IS NOT NULL")
+    priority = {name: k for k, (name, _) in enumerate(L.PART_STYLES)}
+    return rising_runs(m, ["book_id", "item"], "style", ["page", "line_idx"], "ordinal", priority).filter("length >= 2")

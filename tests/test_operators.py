@@ -281,6 +281,15 @@ def test_review_sample():
     got = gate.review_sample(items, 20)
     assert len(got) == 20 and [i for i, _ in got[:3]] == [0, 1, 2] and "chapter 0: first" in dict(got)[0] and 49 in dict(got)
     assert gate.review_sample(items, 20) == got and len(gate.review_sample(items[:5], 20)) == 5
+    answers = [x | {"answer_at": (9, i) if i % 2 == 0 else None, "answer_lines": 0 if i == 8 else 7 if i == 42 else 1} for i, x in enumerate(items)]
+    why = dict(gate.answer_sample(answers, got, 12))
+    assert len(why) == 12 and "most lines" in why[42] and "a picture alone" in why[8] and "first of a chapter's key" in why[50] and not any(i % 2 for i in why)
+
+
+def test_parts(spark):
+    texts = ["Solve:", "(a) one", "(b) two", "(i) inner", "(c) three"]
+    d = spark.createDataFrame([("b", "x", 0, i, t) for i, t in enumerate(texts)] + [("b", "y", 0, 0, "(a) alone")], "book_id string, item string, page int, line_idx int, text string")
+    assert rows(propose.parts(d), "item", "style", "first_ordinal", "length") == [("x", "letter", 1, 2)]
 
 
 # -- operations

@@ -5,8 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
@@ -155,10 +157,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc: Encoder = _once(mark, lambda: Encoder(data.value, pattern))
         for b in batches:
-            column = b.column(b.schema.get_field_index(text))
-            # a few texts at a time: ids take more room as Python objects than as the text
-            ids = pa.chunked_array([pa.array([enc.encode(t or "") for t in column.slice(i, 256).to_pylist()], pa.list_(pa.int32())) for i in range(0, len(column), 256)], pa.list_(pa.int32())).combine_chunks()
-            ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+            # one text at a time: ids take far more room as Python's numbers than as the text
+            flat, ends = array("i"), array("i", [0])
+            for t in b.column(b.schema.get_field_index(text)):
+                flat.extend(enc.encode(t.as_py() or ""))
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(f.name)) for f in kept] + [ids], [f.name for f in kept] + [out])
 
     return docs.mapInArrow(run, T.StructType(kept + [T.StructField(out, T.ArrayType(T.IntegerType()))]))
@@ -179,7 +183,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", o
         of = _once(mark, table).__getitem__
         for b in batches:
             column = b.column(b.schema.get_field_index(ids))
-            back = pa.array([b"".join(map(of, x)) for i in range(0, len(column), 256) for x in (y or () for y in column.slice(i, 256).to_pylist())], pa.binary())
+            back = pa.array([b"".join(map(of, x.as_py() or ())) for x in column], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, back], [f.name for f in fields] + [out])
 
     return tokens.mapInArrow(run, T.StructType(fields + [T.StructField(out, T.BinaryType())]))

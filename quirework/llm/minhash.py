@@ -26,7 +26,7 @@ K = 48
 LONG = 64
 #: Documents and shingles of a block, at most about.
 BLOCK_DOCS, BLOCK_SHINGLES = 2048, 2_000_000
-MEMO = 300_000
+MEMO = 100_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 

@@ -16,7 +16,7 @@ from quirework.session import bound_batches
 
 #: Words and runs of punctuation.
 TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+").findall
-MEMO = 300_000
+MEMO = 100_000
 #: Hash of the token that stands for a repetition of the one before.
 AGAIN = 0x9E3779B1
 

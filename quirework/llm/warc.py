@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.session import bound_batches
+from quirework.session import bound_batches, store
 
 #: What ends a record, and so what the text writer puts between its lines.
 END = "\r\n\r\n"
@@ -46,6 +46,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url: str = "url", pa
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url).alias("_url"), body.alias("_body")).withColumn("_bytes", F.octet_length("_body").cast("long"))
     rows = rows.withColumn("_digest", base32(F.sha1(F.col("_body").cast("binary")))).withColumn("_same", F.sha2(F.col("_body").cast("binary"), 256))
     last = pages.select(F.col(id_col).alias("_id"), F.sha2(body.cast("binary"), 256).alias("_k"), F.octet_length(body).alias("_n")).filter(F.col("_n") >= min_bytes).groupBy("_k").agg(F.max("_id").alias("_last"), F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    # payloads are moved for the join only where those that occur twice are too many to broadcast
+    last = store(last, "payloads")
     joined = rows.join(last, F.col("_same") == F.col("_k"), "left")
     revisits = F.col("_last").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_last"))
     return joined.withColumn("_type", F.when(revisits, "revisit").otherwise("response")).withColumn("_refers", F.when(revisits, F.col("_last"))).drop("_k", "_c", "_last", "_same")

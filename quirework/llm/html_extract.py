@@ -328,10 +328,11 @@ class Model:
         s, rnd = self.s, np.random.default_rng(self.s.seed)
         ready = [(self.inputs([b for b, _ in x]), np.array([y for _, y in x], np.float32)) for x in pages if x]
         m1, m2, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
+        # pages of like length make a batch, so that few steps run over padding; the batches are shuffled
+        ready.sort(key=lambda r: len(r[1]))
         for epoch in range(s.epochs):
-            order = rnd.permutation(len(ready))
-            for at in range(0, len(order), 25):
-                batch = [ready[i] for i in order[at : at + 25]]
+            for at in rnd.permutation(-(-len(ready) // 25)) * 25:
+                batch = ready[at : at + 25]
                 x, mask = self.pad([self.vectors(v) for v, _ in batch])
                 y = np.zeros(mask.shape, np.float32)
                 for i, (_, w) in enumerate(batch):

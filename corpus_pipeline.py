@@ -16,8 +16,9 @@ from quirework.session import shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line-first rules reject go; the others stay as they are."""
-    return quality_rules.keep(docs)
+    """Documents that the line-first rules reject go, and the failed lines of the others; n_chars follows the text."""
+    out = quality_rules.keep(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,14 +43,15 @@ def line_fault(line: str, max_symbols: int = 20, max_shout: int = 20, max_separa
     return None
 
 
-def measure(text: str | None, min_words: int = 50, max_repeat: int = 50, max_loss: int = 40, max_dup_lines: int = 50) -> tuple:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost_words, kept) of one text; see judge()."""
+def examine(text: str | None, min_words: int = 50, max_repeat: int = 50, max_loss: int = 40, max_dup_lines: int = 50) -> tuple[tuple, list[tuple[int, int]]]:
+    """What measure() gives, and the (begin, end) in characters of the lines that failed, without their line ends."""
     text = text or ""
     words = text.encode().split()  # bytes split at the six ASCII white spaces alone
     n = len(words)
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
     symbols = sum(map(text.count, SYMBOLS))
-    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    every = text.split("\n")
+    lines = [x for x in every if x.strip(" \t\n\x0b\x0c\r")]
     dup = len(lines) - len(set(lines))
     repeat = 0
     windows = list(zip(words, words[1:], words[2:], strict=False))
@@ -62,42 +63,72 @@ def measure(text: str | None, min_words: int = 50, max_repeat: int = 50, max_los
                 repeat += i + 3 - max(end, i)
                 end = i + 3
     failed = n < min_words or 100 * repeat > max_repeat * n
-    lost, met = 0, set()
-    for x in lines:
-        if line_fault(x) or (x in met and 100 * dup > max_dup_lines * len(lines)):
-            lost += len(x.encode().split())
-        met.add(x)
-    return n, chars, symbols, dup, repeat, failed, lost, not failed and 100 * lost <= max_loss * n
+    lost, met, spans, at = 0, set(), [], 0
+    for x in every:
+        if x.strip(" \t\n\x0b\x0c\r"):
+            if line_fault(x) or (x in met and 100 * dup > max_dup_lines * len(lines)):
+                lost += len(x.encode().split())
+                spans.append((at, at + len(x)))
+            met.add(x)
+        at += len(x) + 1
+    return (n, chars, symbols, dup, repeat, failed, lost, not failed and 100 * lost <= max_loss * n), spans
+
+
+def measure(text: str | None, **limits) -> tuple:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lost_words, kept) of one text; see judge()."""
+    return examine(text, **limits)[0]
+
+
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without the lines at spans, each with one line end; the lines that stay are joined as they were."""
+    out, at = [], 0
+    for begin, end in spans:
+        out.append(text[at:begin])
+        at = end + 1
+    out.append(text[at:])
+    whole = "".join(out)
+    # the last line goes with the line end before it
+    return whole[:-1] if spans and spans[-1][1] == len(text) and whole else whole
 
 
 FIELDS = "_n_words long, _word_chars long, _n_symbols long, _n_dup_lines long, _n_repeat_words long, _base_failed boolean, _n_lost_words long, _kept boolean"
+#: What judge() adds with lines=True.
+LINES = {"_clean": T.StringType(), "_lost_spans": T.ArrayType(T.StructType().add("begin", "long").add("end", "long"))}
 
 
-def judge(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
-    """docs with the columns of FIELDS.
+def judge(docs: DataFrame, text: str = "text", lines: bool = False, **limits) -> DataFrame:
+    """docs with the columns of FIELDS; with lines, also _clean, the text without its failed lines, and _lost_spans, where they stood.
 
     Words are runs without ASCII white space. A line fails by its punctuation (symbols, shouting), as navigation (separators
     between words) or as boilerplate (notices); the words of failed lines are lost, and a text that loses more than max_loss
     per cent of its words, or fails the base rules, isn't kept. Null and empty text: no words, not kept. Rows are judged one by one, so
-    ids may be null or repeat. Empty table: no rows.
+    ids may be null or repeat. Blank lines stay. _clean of a null text is null; spans are characters from begin to before end,
+    without the line end. Empty table: no rows.
     """
     bound_batches(docs.sparkSession)
     names = [x.split()[0] for x in FIELDS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = pd.DataFrame([measure(t, **limits) for t in b[text]], columns=names, index=b.index)
+            rows = [examine(t, **limits) for t in b[text]]
+            found = pd.DataFrame([x for x, _ in rows], columns=names, index=b.index)
+            if lines:
+                found["_clean"] = pd.Series([t and without(t, spans) for t, (_, spans) in zip(b[text], rows, strict=True)], index=b.index, dtype=object)
+                found["_lost_spans"] = pd.Series([[{"begin": x, "end": y} for x, y in spans] for _, spans in rows], index=b.index, dtype=object)
             yield pd.concat([b, found], axis=1)
 
     added = T.StructType()
     for x in FIELDS.split(", "):
         added.add(*x.split())
+    for name, kind in LINES.items() if lines else ():
+        added.add(name, kind)
     return docs.mapInPandas(run, T.StructType(docs.schema.fields + added.fields))
 
 
-def keep(docs: DataFrame, **limits) -> DataFrame:
-    """The rows of docs that judge() keeps, whole and with their own columns."""
-    return judge(docs, **limits).filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
+    """The rows of docs that judge() keeps, their text without the failed lines; the other columns stay as they are."""
+    kept = judge(docs, text, lines=True, **limits).filter("_kept")
+    return kept.select(*[F.col("_clean").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def judge_sql() -> str:

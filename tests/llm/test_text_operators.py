@@ -7,6 +7,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quirework.llm import bpe, license_scan, line_dedup, mixing, quality_classifier, quality_rules
 from quirework.llm.queries import vocabulary
 
@@ -87,6 +88,25 @@ def test_verdicts(spark):
     assert quality_rules.keep(d).columns == d.columns and quality_rules.keep(docs(spark, [])).count() == 0
 
 
+def test_failed_lines_of_kept_documents_go(spark):
+    rnd = random.Random(7)
+    prose = lambda i: " ".join(f"w{i}x{j}" for j in range(20)) + "."
+    bad = ["Home | News | Mail", "READ THE NEWS", "## ** $$ a", "Subscribe to our newsletter", " Click here \r"]
+    rows = [doc(i, "\n".join(rnd.choice([prose(f"{i}y{k}"), rnd.choice(bad), "", " "]) for k in range(rnd.randint(0, 30)))) for i in range(60)]
+    rows += [doc(900, None), doc(901, "Home | News\n" + "\n".join(map(prose, "abc"))), doc(902, "\n".join(map(prose, "abc")) + "\nHome | News\n"), doc(903, "\n".join([prose(x) for x in "abcdd"] + ["Home | News"]))]
+    cut = {i: "\n".join(x for x in t.split("\n") if x not in bad and x != "Home | News") for i, t, *_ in rows if t is not None}
+    judged = {r.doc_id: r for r in quality_rules.judge(docs(spark, rows), lines=True).collect()}
+    for i, t, *_ in rows:
+        assert judged[i]._clean == (None if t is None else cut[i])
+        assert [t[a:b] for a, b in judged[i]._lost_spans] == [x for x in (t or "").split("\n") if x in bad or x == "Home | News"]
+    want = {i: (cut[i], len(cut[i])) for i, t, *_ in rows if quality_rules.measure(t)[-1]}
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality(spark, docs(spark, rows), "").collect()}
+    assert got == want and any(cut[i] != t for i, t, *_ in rows if i in want) and {901, 902, 903} <= want.keys()
+    # a line that repeats in a text of repeats stays once
+    again = "\n".join([prose("a"), prose("b"), prose("c"), prose("d")] + ["x y"] * 9)
+    assert quality_rules.examine(again)[0][-1] and quality_rules.without(again, quality_rules.examine(again)[1]) == "\n".join([prose("a"), prose("b"), prose("c"), prose("d"), "x y"])
+
+
 # -- byte pairs
 
 

@@ -36,6 +36,8 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 #: What separates the words of a normalised text.
 GAP = r"[^\p{L}\p{N}]+"
+FOUND = "struct<dice:double,place:int,start:int,end:int,license:string>"
+HITS = "array<struct<segment:string,license:string,dice:double>>"
 
 
 def template_bigrams(text: str) -> list[str]:
@@ -52,6 +54,60 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.concat(F.get(words, i), F.lit(" "), F.get(words, i + 1))))
 
 
+def bounds(least: float) -> tuple[float, float]:
+    """The least and greatest ratio of two sets' sizes at a coefficient of least, with room for the rounding of floats."""
+    return least / (2 - least) - 1e-9, (2 - least) / least + 1e-9
+
+
+def _windows(words: Column, grams: Sequence[tuple[str, list[str]]], least: float) -> Column:
+    """The stretches of an array of words that are notices, as structs like those of hits, though no segment is cut there.
+
+    A stretch starts and ends with a bigram of its template, since another one at its ends only lowers the coefficient, and has
+    at most as many bigrams as the bound on sizes allows. Each start takes its best end; of stretches that overlap the best
+    stays, of equals the one of the template listed first, then the first.
+    """
+    low, high = bounds(least)
+    every = sorted({x for _, g in grams for x in g})
+    firsts = sorted({x.split(" ")[0] for x in every})
+
+    def gram(w: Column, i: Column) -> Column:
+        return F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))
+
+    def marked(w: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.get(w, i).isin(firsts) & gram(w, i).isin(every))
+        return F.transform(at, lambda i: F.struct(i.alias("at"), gram(w, i).alias("g")))
+
+    def of_template(w: Column, marks: Column, place: int, name: str, t: list[str]) -> Column:
+        need = len(t) * low
+        different = lambda xs: F.size(F.array_distinct(F.transform(xs, lambda x: x["g"])))
+
+        def window(a: Column, b: Column, near: Column) -> Column:
+            n = F.size(F.array_distinct(F.transform(F.sequence(a["at"], b["at"]), lambda i: gram(w, i))))
+            dice = different(F.filter(near, lambda x: x["at"] <= b["at"])) * 2.0 / (n + len(t))
+            return F.struct(dice.alias("dice"), F.lit(-place).alias("place"), (-a["at"]).alias("start"), (-b["at"]).alias("end"), F.lit(name).alias("license"))
+
+        def from_start(a: Column, mine: Column) -> Column:
+            near = F.filter(mine, lambda b: (b["at"] >= a["at"]) & (b["at"] < a["at"] + int(len(t) * high)))
+            ends = lambda ns: F.filter(ns, lambda b: b["at"] >= a["at"] + int(need) - 1)
+            return F.get(F.transform(F.array(near), lambda ns: F.when(different(ns) >= need, F.array_max(F.transform(ends(ns), lambda b: window(a, b, ns))))), F.lit(0))
+
+        mine = F.filter(marks, lambda m: m["g"].isin(t))
+        return F.flatten(F.transform(F.array(mine), lambda ms: F.when(different(ms) >= need, F.filter(F.transform(ms, lambda a: from_start(a, ms)), lambda x: x["dice"] >= least)).otherwise(F.filter(F.array(F.lit(None).cast(FOUND)), lambda x: x.isNotNull()))))
+
+    def chosen(w: Column, marks: Column) -> Column:
+        found = F.sort_array(F.flatten(F.array(*[of_template(w, marks, place, name, t) for place, (name, t) in enumerate(grams)])), asc=False)
+        # start and end are negative, so that the first of equals comes first
+        apart = F.aggregate(found, F.array().cast(f"array<{FOUND}>"), lambda s, x: F.when(F.exists(s, lambda y: (x["start"] >= y["end"] - 1) & (y["start"] >= x["end"] - 1)), s).otherwise(F.concat(s, F.array(x))))
+        wording = lambda x: F.array_join(F.slice(w, 1 - x["start"], x["start"] - x["end"] + 2), " ")
+        return F.transform(apart, lambda x: F.struct(wording(x).alias("segment"), x["license"].alias("license"), x["dice"].alias("dice")))
+
+    # an array of one binds what is used often
+    marks = lambda w: F.when(F.size(w) > 1, marked(w)).otherwise(F.array().cast("array<struct<at:int,g:string>>"))
+    fewest = min(len(g) for _, g in grams) * low
+    each = lambda w: F.get(F.transform(F.array(marks(w)), lambda ms: F.when(F.size(ms) >= fewest, chosen(w, ms))), F.lit(0))
+    return F.get(F.transform(F.array(words), each), F.lit(0))
+
+
 def scan(docs: DataFrame, text: str = "text", templates: Sequence[tuple[str, str]] = tuple(TEMPLATES), least: float = 0.8) -> DataFrame:
     """docs with _hits: array of (segment, license, dice), a row's licence notices in order.
 
@@ -59,11 +115,12 @@ def scan(docs: DataFrame, text: str = "text", templates: Sequence[tuple[str, str
     and cut into words of letters and digits; 2 * common / (own + template's) of the sets of word bigrams is its Dice
     coefficient. At a coefficient of `least` the sets' sizes differ by (2 - least) / least times at most, so that a segment
     meets only the templates within these bounds, and most lines none. A segment takes its best template, of equals the first
-    listed; segments of one wording count once. Null and empty texts, and texts without a bigram, have no hits. Rows are
+    listed; segments of one wording count once. Notices that stand in none of these, within a line or wrapped within a longer
+    text, are found as windows over the words of the whole; a window whose wording stands within a hit segment is that hit. Null and empty texts, and texts without a bigram, have no hits. Rows are
     scanned one by one, so that ids may be null or repeat. Empty table: no rows. There is no shuffle.
     """
     grams = [(name, g) for name, t in templates if (g := template_bigrams(t))]
-    low, high = least / (2 - least), (2 - least) / least
+    low, high = bounds(least)
     fewest, most = min(len(g) for _, g in grams) * low, max(len(g) for _, g in grams) * high
     body = F.col(text)
     paragraphs = F.when(body.rlike(r"\n\s*\n"), F.split(body, r"\n\s*\n")).otherwise(F.array().cast("array<string>"))
@@ -85,7 +142,11 @@ def scan(docs: DataFrame, text: str = "text", templates: Sequence[tuple[str, str
     # bigrams number one less than the words at most; the bound on distinct ones is held per template
     fits = F.filter(F.transform(segments, lambda w: F.struct(w.alias("w"), F.when(F.size(w) > 1, _bigrams(w)).alias("g"))), lambda s: (F.size(s["g"]) >= fewest) & (F.size(s["g"]) <= most))
     hits = F.filter(F.transform(fits, lambda s: hit(s["w"], s["g"])), lambda h: h["dice"] >= least)
-    return docs.withColumn("_hits", F.coalesce(hits, F.array().cast("array<struct<segment:string,license:string,dice:double>>")))
+    none = F.array().cast(HITS)
+    inside = lambda x, hs: F.exists(hs, lambda h: F.concat(F.lit(" "), h["segment"], F.lit(" ")).contains(F.concat(F.lit(" "), x["segment"], F.lit(" "))))
+    found = F.coalesce(_windows(F.get(whole, F.lit(0)), grams, least), none)
+    more = lambda hs: F.concat(hs, F.filter(F.array_distinct(found), lambda x: ~inside(x, hs)))
+    return docs.withColumn("_hits", F.get(F.transform(F.array(F.coalesce(hits, none)), more), F.lit(0)))
 
 
 def scan_sql(templates: Sequence[tuple[str, str]] = tuple(TEMPLATES), least: float = 0.8) -> str:

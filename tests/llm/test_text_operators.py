@@ -55,6 +55,22 @@ def test_licence_notices(spark):
     assert license_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_licence_notices_within_lines_and_longer_texts(spark):
+    gpl = "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    code = "\n".join(f"x{i} = call of the thing under version {i}" for i in range(300))
+    rows = [
+        doc(1, "(c) 2021 Foo Inc. All rights reserved."), doc(2, "Copyright 2021 Foo. Released under the MIT License."), doc(3, f"#!/bin/sh\n# Tool of the year.\n#\n# {gpl}\n#\n{code}"),
+        doc(4, "One part is licensed under CC BY 4.0, the other is licensed under CC BY-SA 4.0; all rights reserved, as ever. Licensed under CC BY 4.0!"), doc(5, "all the rights are reserved under the license of the mit"),
+        doc(6, f"Some words.\nReleased under the MIT License.\n{code}"), doc(7, code + " and more words that are released\nunder the MIT\nLicense"), doc(8, None),
+    ]
+    got = {r.doc_id: [(h.license, round(h.dice, 3)) for h in r._hits] for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert got[1] == [("LicenseRef-proprietary", 1.0)] and got[2] == [("MIT", 1.0)] and got[3] == [("GPL-3.0-or-later", 1.0)] and got[7] == [("MIT", 1.0)]
+    assert sorted(got[4]) == [("CC-BY-4.0", 1.0), ("CC-BY-SA-4.0", 1.0), ("LicenseRef-proprietary", 1.0)]
+    bound = license_scan.scan(docs(spark, [doc(1, "A.\nAll rights reserved.")])).collect()[0]._hits
+    assert [h.dice for h in bound] == [1.0, 0.8]  # the whole text is at the bound itself
+    assert got[5] == got[8] == [] and got[6] == [("MIT", 1.0)]  # a notice alone on its line is one hit
+
+
 # -- quality rules
 
 

@@ -20,7 +20,7 @@ END = "\r\n\r\n"
 MAGIC = b"WARC/1.1\r\n"
 #: Rows of an archive, at most.
 ROWS_PER_FILE = 1000
-_FIELD = re.compile(rb"([!-9;-~]+):[ \t]*(.*?)[ \t]*\r\n")
+_FIELD = re.compile(rb"^([!-9;-~]+):(.*)\r\n", re.M)
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -97,9 +97,10 @@ def candidates(data: bytes) -> list[tuple[int, int, dict[str, str], bytes]]:
     out = []
     at = data.find(MAGIC)
     while at >= 0:
-        end = data.find(b"\r\n\r\n", at, at + 65536)
+        # a record starts its file or follows the end of another; so no two headers share bytes, however long they are
+        end = data.find(b"\r\n\r\n", at) if at == 0 or data[max(0, at - 4) : at] == b"\r\n\r\n" else -1
         if end >= 0:
-            fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in _FIELD.findall(data, at + len(MAGIC), end + 2)}
+            fields = {k.decode().lower(): v.strip(b" \t").decode("utf-8", "replace") for k, v in _FIELD.findall(data, at + len(MAGIC), end + 2)}
             size = fields.get("content-length", "")
             if size.isascii() and size.isdigit():
                 start = end + 4
@@ -110,6 +111,13 @@ def candidates(data: bytes) -> list[tuple[int, int, dict[str, str], bytes]]:
     return out
 
 
+def whole_number(text: str | None) -> int | None:
+    """A signed integer of 64 bits, or none."""
+    if not re.fullmatch(r"-?[0-9]{1,19}", text or ""):
+        return None
+    return n if -(2**63) <= (n := int(text)) < 2**63 else None
+
+
 def reachable(offset: np.ndarray, successor: np.ndarray, start: int = 0) -> np.ndarray:
     """Which candidates lie on the chain from start, by pointer jumping: rounds grow with the logarithm of the chain."""
     order = np.argsort(offset, kind="stable")
@@ -138,8 +146,11 @@ def reachable(offset: np.ndarray, successor: np.ndarray, start: int = 0) -> np.n
 RECORD = "file string, offset long, successor long, record_type string, record_id string, refers_to_id string, target_uri string, page_id long, refers_to_page long, declared_digest string, declared_bytes long, block_bytes long, payload_digest string, payload_bytes long"
 
 
-def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    """A row of RECORD for every place of the archives below path where a record could start; an archive is read by one task."""
+def read_candidates(spark: SparkSession, path: str, whole_chains: bool = False) -> DataFrame:
+    """A row of RECORD for every place of the archives below path where a record could start; an archive is read by one task.
+
+    With whole_chains it fails at an archive whose chain of records doesn't reach its end.
+    """
     bound_batches(spark)
     names = [x.split()[0] for x in RECORD.split(", ")]
 
@@ -147,11 +158,17 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for name, data in zip(b["path"], b["content"], strict=True):
                 rows = []
-                for at, after, f, block in candidates(bytes(data)):
+                found = candidates(data := bytes(data))
+                if whole_chains:
+                    ends = np.array([x[1] for x in found], np.int64)
+                    on = reachable(np.array([x[0] for x in found], np.int64), ends)
+                    if ends[on].max(initial=0) != len(data):
+                        raise ValueError(f"{name}: its records end at byte {ends[on].max(initial=0)} of {len(data)}")
+                for at, after, f, block in found:
                     kind = f.get("warc-type")
                     payload = block.split(b"\r\n\r\n", 1)[-1] if f.get("content-type", "").startswith("application/http") else block
                     whole = kind != "revisit"
-                    number = lambda k, f=f: int(f[k]) if re.fullmatch(r"-?\d{1,18}", f.get(k, "")) else None
+                    number = lambda k, f=f: whole_number(f.get(k))
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if whole else None
                     rows.append((name, at, after, kind, f.get("warc-record-id"), f.get("warc-refers-to"), f.get("warc-target-uri"), number("x-page-id"), number("x-refers-to-page"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, number("x-payload-length"), len(block), digest, len(payload) if whole else None))
                 yield pd.DataFrame(rows, columns=names, dtype=object)
@@ -160,7 +177,7 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     return files.filter("length > 0").select("path", "content").mapInPandas(scan, RECORD)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, whole_chains: bool = False) -> DataFrame:
     """The true records of the archives below path: those on the chain of boundaries from the start of their archive.
 
     The magic inside a payload makes a candidate too, but no chain from the start leads there. An archive is cut by its
@@ -171,14 +188,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def chain(g: pd.DataFrame) -> pd.DataFrame:
         return g[reachable(g["offset"].to_numpy(np.int64), g["successor"].to_numpy(np.int64))][names]
 
-    return read_candidates(spark, path).groupBy("file").applyInPandas(chain, RECORD)
+    # pandas makes floats of longs with nulls, which hold no id above 2^53
+    ids = ["page_id", "refers_to_page"]
+    kinds = ", ".join(f"{x.split()[0]} string" if x.split()[0] in ids else x for x in RECORD.split(", "))
+    found = read_candidates(spark, path, whole_chains).withColumns({x: F.col(x).cast("string") for x in ids})
+    return found.groupBy("file").applyInPandas(chain, kinds).withColumns({x: F.col(x).cast("long") for x in ids})
 
 
 def round_trip(pages: DataFrame, folder: str, **how) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of a record per row, and whether what was read is what was declared."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of a record per row, and whether what was read is what was declared.
+
+    It fails if the records of an archive don't reach its end.
+    """
     path = f"{folder}/warc-{uuid.uuid4().hex}"
     write(pages, path, **how)
-    r = read(pages.sparkSession, path)
+    r = read(pages.sparkSession, path, whole_chains=True)
     return r.select(
         "page_id",
         F.coalesce("payload_bytes", "declared_bytes").alias("payload_bytes"),

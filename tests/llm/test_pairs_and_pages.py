@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quirework.llm import html_extract, minhash, topk, warc
@@ -130,6 +131,27 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(d.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_archives_of_long_ids_and_urls(spark, tmp_path):
+    big = 2**63 - 1
+    rows = [(big, "u", "same"), (10**18, "u", "same"), (-(2**63), "http://x/WARC/1.1", "own"), (1, "data:," + "a" * 100_000, "page"), (2, "http://x/" + "%20 " * 50_000, "after"), (3, "u", "last " + "WARC/1.1\r\n" * 20_000)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.record_type, r.refers_to, r.intact) for r in warc.round_trip(d, str(tmp_path)).collect()}
+    assert got == {i: ("response", None, True) for i, *_ in rows} | {10**18: ("revisit", big, True)}
+    assert {r.target_uri for r in warc.read(spark, str(tmp_path)).collect()} >= {rows[3][1], rows[2][1]}
+    assert [warc.whole_number(x) for x in (None, "", str(2**63), "1" * 20, "٣", "-7")] == [None] * 5 + [-7]
+
+
+def test_a_broken_chain_fails(spark, tmp_path):
+    warc.write(spark.createDataFrame([(i, "u", f"page {i}") for i in range(4)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "a"))
+    file = next((tmp_path / "a").glob("*.txt"))
+    data = file.read_bytes()
+    for broken in (data.replace(b"page 2", b"page 22"), data[:-1], b"no record"):
+        (tmp_path / "b").mkdir(exist_ok=True)
+        (tmp_path / "b" / "x.txt").write_bytes(broken)
+        with pytest.raises(Exception, match="its records end at byte"):
+            warc.read(spark, str(tmp_path / "b"), whole_chains=True).collect()
+
+
 def test_pointer_jumping():
     offset, successor = np.array([50, 0, 10, 30, 12, 90]), np.array([70, 10, 30, 50, 31, 95])
     assert warc.reachable(offset, successor).tolist() == [True, True, True, True, False, False]

@@ -62,3 +62,25 @@ def test_pipeline(spark, tmp_path):
     want = sorted((r.doc_id, hashlib.sha256(" ".join(map(str, ref.encode_ordinary(r.text))).encode()).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()) for r in mixed)
     out = corpus_pipeline.run(spark, folder)
     assert sorted((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in out.collect()) == want
+
+
+def test_near_dedup_stage_equals_five_word_brute_force(spark):
+    rnd = random.Random(21)
+    word = lambda: rnd.choice("abcdefgh") + rnd.choice("ijklmnop") + str(rnd.randint(0, 3000))
+    texts = {}
+    for i in range(0, 120, 3):
+        w = [word() for _ in range(rnd.randint(60, 1000))]
+        texts[i], texts[i + 1] = w, w[: int(len(w) * rnd.uniform(0.72, 0.95))]
+        texts[i + 2] = [word() if x % rnd.choice([29, 40, 60]) == 0 else y for x, y in enumerate(w)]
+    texts[200] = [word() for _ in range(1000)]
+    texts[201] = texts[200][:830]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
+    root = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {i: new if r == old else r for i, r in root.items()}
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0) for i, w in texts.items()], DOCS)
+    got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert got == {i for i, r in root.items() if i == r} and 201 not in got

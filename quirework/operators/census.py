@@ -69,19 +69,25 @@ def stitched(parts: list[list[dict]], back: int = C.PAGES_BACK) -> list[list[dic
 
 
 def segments(run: list[dict], least: int = C.MIN_RUN) -> Iterator[tuple[list[dict], int]]:
-    """A run cut where more than one number is missing; pieces of `least` items with a tenth of their span missing at most, and their step."""
+    """A run cut where more than one number is missing, or more than a tenth of the span so far (one at least), or the step
+    changes; numbers that repeat go. Pieces of `least` items and their step."""
     diffs = [b["n"] - a["n"] for a, b in zip(run, run[1:], strict=False) if b["n"] > a["n"]]
     step = 2 if diffs and sum(d in (2, 4) for d in diffs) >= 0.7 * len(diffs) else 1
-    piece = [run[0]]
-    pieces = []
-    for a, b in zip(run, run[1:], strict=False):
-        if not 0 < b["n"] - a["n"] <= 2 * step:
-            pieces.append(piece)
-            piece = []
-        piece.append(b)
-    for p in [*pieces, piece]:
-        span = (p[-1]["n"] - p[0]["n"]) // step + 1
-        if len(p) >= least and span - len(p) <= math.ceil(span / 10):
+    pieces, missing = [[run[0]]], 0
+    for x in run[1:]:
+        piece = pieces[-1]
+        d = x["n"] - piece[-1]["n"]
+        if d == 0:
+            continue
+        gaps = d // step - 1
+        if d > 0 and d % step == 0 and gaps <= 1 and missing + gaps <= max(1, math.ceil((len(piece) + missing + gaps) / 10)):
+            piece.append(x)
+            missing += gaps
+        else:
+            pieces.append([x])
+            missing = 0
+    for p in pieces:
+        if len(p) >= least:
             yield p, step
 
 
@@ -109,12 +115,12 @@ def verdicts(runs: DataFrame) -> DataFrame:
 
 
 def uncovered(runs: DataFrame) -> DataFrame:
-    """Runs of which nothing is framed, worst first: of five items, or of eight where the book has three covered runs."""
+    """Runs of which less than 0.8 is framed: of five items, or of eight where the book has three covered runs."""
     judged = verdicts(runs).filter("verdict = 'run'")
-    covered = judged.groupBy(F.col("book_id").alias("_b")).agg(F.count_if(F.col("coverage") > 0.5).alias("_n"))
+    covered = judged.groupBy(F.col("book_id").alias("_b")).agg(F.count_if(F.col("coverage") >= 0.8).alias("_n"))
     j = judged.join(covered, F.col("book_id") == F.col("_b")).drop("_b")
     least = F.when(F.col("_n") >= 3, C.MIN_RUN_COVERED).otherwise(C.MIN_RUN)
-    return j.filter((F.col("coverage") == 0) & (F.col("n_items") >= least)).drop("_n").withColumn("code", F.lit("numbered-run-uncovered"))
+    return j.filter((F.col("coverage") < 0.8) & (F.col("n_items") >= least)).drop("_n").withColumn("code", F.lit("numbered-run-uncovered"))
 
 
 def select_sequence(rows: list[dict], max_jump: int = 3, tolerance: float = 0.02) -> list[dict]:

@@ -318,3 +318,14 @@ def test_operations_by_book(spark):
     got = {r.book_id: r for r in operations.replay_all(state, ops).collect()}
     assert got["a"].ok and [f["id"] for f in json.loads(got["a"].frames)] == ["f2"] and got["a"].seq == 2
     assert not got["b"].ok and got["b"].applied == 1 and json.loads(got["b"].frames) == []
+
+
+def test_runs_with_scattered_gaps_are_cut_and_kept():
+    cut = lambda ns, least: [[x["n"] for x in p] for p, _ in census.segments([{"n": n} for n in ns], least)]
+    assert cut([1, 2, 4, 5, 7], 3) == [[1, 2, 4, 5]] and cut([1, 2, 4, 5, 7, 8, 9], 3) == [[1, 2, 4, 5], [7, 8, 9]]
+    assert cut([1, 2, 2, 3], 3) == [[1, 2, 3]]
+
+
+def test_partly_covered_runs_are_uncovered(spark):
+    rows = [("b", "dot", i, 1, 10, 10, 1, 0, 1, 2, c) for i, c in enumerate((0.0, 0.5, 0.79, 0.8, 1.0))]
+    assert sorted(r.run_id for r in census.uncovered(spark.createDataFrame(rows, census.RUNS)).collect()) == [0, 1, 2]

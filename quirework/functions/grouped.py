@@ -1,4 +1,4 @@
-"""Groups of rows in Python without a call per group."""
+"""Rows in Python: columns made of columns, and groups without a call per group."""
 
 from __future__ import annotations
 
@@ -6,13 +6,25 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quirework.session import bound_batches
 
 
+def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Arrow batches as frames. A column of whole numbers with nulls holds Python's: floats would round ids beyond 2^53."""
+    for b in batches:
+        yield b.to_pandas(integer_object_nulls=True)
+
+
+def record_batch(frame: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
     """The groups of rows that follow one another with equal keys; a group may span batches."""
     held: list[pd.DataFrame] = []
@@ -38,18 +50,51 @@ def by_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], f: Callabl
     """f over the groups of df with equal keys, each sorted by order: one shuffle, one sort, batches of many groups. Groups have to be bounded."""
     bound_batches(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    made = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[pd.DataFrame] = []
         n = 0
-        for group in runs(batches, keys):
+        for group in runs(frames(batches), keys):
             got = f(group)
             if got is not None and len(got):
                 out.append(got)
                 n += len(got)
             if n > 5000:
-                yield pd.concat(out)
+                yield record_batch(pd.concat(out), made)
                 out, n = [], 0
         if out:
-            yield pd.concat(out)
+            yield record_batch(pd.concat(out), made)
+
+    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
+
+
+def append(df: DataFrame, column: str, added: T.StructType, f: Callable[[pa.Array], list[pa.Array]], drop: Sequence[str] = ()) -> DataFrame:
+    """df with the columns of added, which f makes of one column of a batch.
+
+    Those of drop, and any that is called like an added one, give way; the others travel as Arrow, so that no id is changed.
+    """
+    bound_batches(df.sparkSession)
+    gone = {x.lower() for x in (*drop, *added.names)}
+    kept = [i for i, x in enumerate(df.columns) if x.lower() not in gone]
+    place = [x.lower() for x in df.columns].index(column.lower())
+    fields = [df.schema.fields[i] for i in kept] + added.fields
+    names = [x.name for x in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + f(b.column(place)), names)
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def pack(df: DataFrame, without: Sequence[str] = (), **named: Column) -> DataFrame:
+    """df's columns but those of `without` as one struct, row, and the named ones beside it: no name of df can clash with another."""
+    inside = [F.col(f"`{c}`") for c in df.columns if c not in without]
+    return df.select(F.struct(*(inside or [F.lit(0).alias("none")])).alias("row"), *[v.alias(k) for k, v in named.items()])
+
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+def unpacked(columns: Sequence[str], **changed: Column) -> list[Column]:
+    """The columns of a packed frame again, those of `changed` by their new values."""
+    return [changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns]

@@ -102,7 +102,7 @@ def census(labels: DataFrame, least: int = C.MIN_RUN) -> DataFrame:
             for p, step in segments(whole, least):
                 span = (p[-1]["n"] - p[0]["n"]) // step + 1
                 out.append((items[0]["book_id"], items[0]["family"], len(out), p[0]["n"], p[-1]["n"], len(p), step, span - len(p), p[0]["page"], p[-1]["page"], sum(bool(x["covered"]) for x in p) / len(p)))
-        return pd.DataFrame(out, columns=names) if out else None
+        return pd.DataFrame(out, columns=names, dtype=object) if out else None
 
     return by_runs(labels.filter("n IS NOT NULL"), ["book_id", "family"], ["page", "ord"], run, RUNS)
 

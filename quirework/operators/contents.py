@@ -40,7 +40,7 @@ def contents(lines: DataFrame) -> DataFrame:
             if strong >= (1 if follows else 3) and (last is None or page - last <= 3):
                 last = page
                 out += [(g["book_id"].iloc[0], page, i, *e.values()) for i, e in found]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in ENTRIES.split(", ")]) if out else None
+        return pd.DataFrame(out, columns=[x.split()[0] for x in ENTRIES.split(", ")], dtype=object) if out else None
 
     return by_runs(lines.select("book_id", "page", "line_idx", "text"), ["book_id"], ["page", "line_idx"], run, ENTRIES)
 

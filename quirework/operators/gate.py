@@ -289,7 +289,7 @@ def stratified_sample(items: DataFrame, order: Sequence[str], most: int = 40) ->
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         rows = review_sample(g.astype(object).where(g.notna(), None).to_dict("records"), most)
-        return pd.DataFrame([(g["book_id"].iloc[0], i, k + 1, why[0], "; ".join(why)) for k, (i, why) in enumerate(rows)], columns=["book_id", "id", "place", "first_reason", "reasons"])
+        return pd.DataFrame([(g["book_id"].iloc[0], i, k + 1, why[0], "; ".join(why)) for k, (i, why) in enumerate(rows)], columns=["book_id", "id", "place", "first_reason", "reasons"], dtype=object)
 
     schema = T.StructType([T.StructField("book_id", T.StringType()), items.schema["id"], T.StructField("place", T.IntegerType()), T.StructField("first_reason", T.StringType()), T.StructField("reasons", T.StringType())])
     return by_runs(d.select("book_id", "id", "layout", "chapter", "section", "_n"), ["book_id"], ["_n"], run, schema)

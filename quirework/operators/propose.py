@@ -64,7 +64,7 @@ def section_items(candidates: DataFrame, max_jump: int = 3) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame | None:
         kept = select_sequence(g.to_dict("records"), max_jump)
-        return pd.DataFrame(kept)[list(candidates.columns)] if kept else None
+        return pd.DataFrame(kept, dtype=object)[list(candidates.columns)] if kept else None
 
     return by_runs(candidates, ["book_id", "section"], ["page", "top", "left", "n", "suffix"], run, candidates.schema)
 

@@ -264,7 +264,7 @@ def check_edges(regions: DataFrame, pictures: DataFrame) -> DataFrame:
                 if ink.is_cut(ink.edge(dark, rect, side)):
                     clean = ink.clean_edge(dark, rect, side)
                     out.append((r.book_id, r.page, r.id, side, "edge-on-ink" if clean is not None else "edge-interlocked", clean))
-        return pd.DataFrame(out, columns=["book_id", "page", "id", "side", "code", "suggested"]) if out else None
+        return pd.DataFrame(out, columns=["book_id", "page", "id", "side", "code", "suggested"], dtype=object) if out else None
 
     found = by_runs(j, ["book_id", "page"], ["id"], run, "book_id string, page int, id string, side string, code string, suggested double")
     return _out(found, F.col("code"), F.concat_ws(":", "id", "side"), F.col("page"))

@@ -86,7 +86,8 @@ def append(df: DataFrame, column: str, added: T.StructType, f: Callable[[pa.Arra
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(i) for i in kept] + f(b.column(place)), names)
 
-    return df.mapInArrow(run, T.StructType(fields))
+    # Spark looks the columns up by name, and stumbles over dots
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, T.StructType(fields))
 
 
 def pack(df: DataFrame, without: Sequence[str] = (), **named: Column) -> DataFrame:

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quirework.session import bound_batches
+from quirework.functions.grouped import append, pack, unpacked
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases of notices and menus; a short line with one is boilerplate.
@@ -103,32 +103,34 @@ def judge(docs: DataFrame, text: str = "text", lines: bool = False, **limits) ->
     between words) or as boilerplate (notices); the words of failed lines are lost, and a text that loses more than max_loss
     per cent of its words, or fails the base rules, isn't kept. Null and empty text: no words, not kept. Rows are judged one by one, so
     ids may be null or repeat. Blank lines stay. _clean of a null text is null; spans are characters from begin to before end,
-    without the line end. Empty table: no rows.
+    without the line end. A column of docs that is called like an added one gives way. Empty table: no rows.
     """
-    bound_batches(docs.sparkSession)
-    names = [x.split()[0] for x in FIELDS.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [examine(t, **limits) for t in b[text]]
-            found = pd.DataFrame([x for x, _ in rows], columns=names, index=b.index)
-            if lines:
-                found["_clean"] = pd.Series([t and without(t, spans) for t, (_, spans) in zip(b[text], rows, strict=True)], index=b.index, dtype=object)
-                found["_lost_spans"] = pd.Series([[{"begin": x, "end": y} for x, y in spans] for _, spans in rows], index=b.index, dtype=object)
-            yield pd.concat([b, found], axis=1)
-
     added = T.StructType()
     for x in FIELDS.split(", "):
         added.add(*x.split())
     for name, kind in LINES.items() if lines else ():
         added.add(name, kind)
-    return docs.mapInPandas(run, T.StructType(docs.schema.fields + added.fields))
+    kinds = to_arrow_schema(added)
+
+    def found(texts: pa.Array) -> list[pa.Array]:
+        columns: list[list] = [[] for _ in added]
+        for t in texts:
+            t = t.as_py()
+            row, spans = examine(t, **limits)
+            for c, v in zip(columns, row, strict=False):
+                c.append(v)
+            if lines:
+                columns[-2].append(t and without(t, spans))
+                columns[-1].append([{"begin": x, "end": y} for x, y in spans])
+        return [pa.array(c, k.type) for c, k in zip(columns, kinds, strict=True)]
+
+    return append(docs, text, added, found)
 
 
 def keep(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
-    """The rows of docs that judge() keeps, their text without the failed lines; the other columns stay as they are."""
-    kept = judge(docs, text, lines=True, **limits).filter("_kept")
-    return kept.select(*[F.col("_clean").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that judge() keeps, their text without the failed lines; the other columns stay as they are, whatever they are called."""
+    kept = judge(pack(docs, (text,), body=F.col(f"`{text}`")), "body", lines=True, **limits).filter("_kept")
+    return kept.select(*unpacked(docs.columns, **{text: F.col("_clean")}))
 
 
 def judge_sql() -> str:

@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quirework.session import bound_batches
+from quirework.functions.grouped import append
 
 #: Words and runs of punctuation.
 TOKENS = re.compile(r"[^\W_]+|[^\w\s]+|_+").findall
@@ -91,43 +92,39 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> np.ndar
     most, whatever the size of the tables, and is learned in the order of its hashes by one task. No labelled text: all
     weights are 0, and every score 0.5.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_label"))
     chosen = known.withColumn("_h", F.xxhash64("_id", F.lit("sample"))).orderBy("_h", "_id").limit(s.sample)
     # a repeated id is learned once
     rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id"))
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [features(t, s.bits) for t in b["text"]]
-            yield pd.DataFrame({"h": b["_h"], "id": b["_id"], "y": (b["_label"] > 0).astype("int32"), "at": [a.astype(np.int32) for a, _ in found], "x": [x.astype(np.float32) for _, x in found]})
+    def extract(texts: pa.Array) -> list[pa.Array]:
+        found = [features(t.as_py(), s.bits) for t in texts]
+        return [pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for _, x in found], pa.list_(pa.float32()))]
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = pd.concat([pd.DataFrame(columns=["h", "id", "y", "at", "x"]), *batches]).drop_duplicates(["h", "id"]).sort_values(["h", "id"])
-        w = train([(np.asarray(a, np.int64), np.asarray(x, np.float64), int(y)) for a, x, y in zip(got["at"], got["x"], got["y"], strict=True)], s)
-        yield pd.DataFrame({"w": [w.tobytes()]})
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, tuple] = {}
+        for b in batches:
+            h, i, y, at, x = (b.column(c) for c in range(5))
+            for k in range(len(b)):
+                known.setdefault((h[k].as_py(), i[k].as_py()), (at[k].values.to_numpy(), x[k].values.to_numpy(), y[k].as_py()))
+        rows = [(a.astype(np.int64), x.astype(np.float64), y) for _, (a, x, y) in sorted(known.items())]
+        yield pa.RecordBatch.from_arrays([pa.array([train(rows, s).tobytes()], pa.binary())], ["w"])
 
-    kind = dict(labels.dtypes)["doc_id"]
-    found = rows.mapInPandas(extract, f"h long, id {kind}, y int, at array<int>, x array<float>")
-    return np.frombuffer(found.repartition(1).mapInPandas(learn, "w binary").first()["w"], np.float32)
+    added = T.StructType.fromDDL("at array<int>, x array<float>")
+    examples = append(rows.select("_h", "_id", (F.col("_label") > 0).cast("int").alias("y"), "text"), "text", added, extract, ("text",))
+    return np.frombuffer(examples.repartition(1).mapInArrow(learn, "w binary").first()["w"], np.float32)
 
 
 def score(docs: DataFrame, weights: np.ndarray, s: Settings = Settings(), text: str = "text") -> DataFrame:  # noqa: B008
     """docs(doc_id, text) with held_out, score and predicted. Null and empty texts get the intercept's score. Empty table: no rows."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    sent = spark.sparkContext.broadcast(weights)  # 2**bits + 1 numbers
+    sent = docs.sparkSession.sparkContext.broadcast(weights)  # 2**bits + 1 numbers
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = sent.value
-        for b in batches:
-            out = []
-            for t in b["t"]:
-                at, x = features(t, s.bits)
-                out.append(1 / (1 + np.exp(-(float(w[at] @ x) + float(w[-1])))))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": np.array(out, float)})
-
-    kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.select("doc_id", F.col(text).alias("t")).mapInPandas(run, f"doc_id {kind}, score double")
+    def found(texts: pa.Array) -> list[pa.Array]:
+        w, out = sent.value, []
+        for t in texts:
+            at, x = features(t.as_py(), s.bits)
+            out.append(1 / (1 + np.exp(-(float(w[at] @ x) + float(w[-1])))))
+        return [pa.array(out, pa.float64())]
+
+    scored = append(docs.select("doc_id", F.col(text).alias("t")), "t", T.StructType().add("score", "double"), found, ("t",))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= s.threshold).cast("int").alias("predicted"))

@@ -5,16 +5,17 @@ from __future__ import annotations
 import functools
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from quirework.session import bound_batches
+from quirework.functions.grouped import append
 
 # HTML's elements by kind.
 #: Their content isn't text of the page.
@@ -28,7 +29,13 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 #: Whose open p a block's start tag doesn't end.
 BARRIER = frozenset("table td th button object body html".split())
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+# Possessive, and every branch takes what it has met, so that no character is read twice but for the last quote of a page. A
+# quote stands for a value only behind =, and only if it is closed; a tag that doesn't end takes the rest, as in browsers.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)(?:>|\Z)", re.S)
+#: Elements within elements that are told apart; deeper ones are read as if they stood there, as in browsers.
+DEEPEST = 256
+#: Names of an element that are looked at, at most.
+NAMES = 32
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 NAME = re.compile(r"[a-z]+|[0-9]+")
 
@@ -50,18 +57,19 @@ def _names(attributes: str) -> tuple[str, ...]:
             out += [] if value.lower() == "false" else ["hidden"]
         else:
             out += ["." + x for x in NAME.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())]
-    return tuple(out)
+    return tuple(out[:NAMES])
 
 
 def blocks(html: str | None) -> list[Block]:
     """The leaf blocks of a page in order: texts between tags of block elements, decoded, white space squeezed.
 
     Any markup is read, however broken: what isn't closed is closed by its successor or its parent, an end tag without its
-    start is passed over, a comment or script that doesn't end takes the rest.
+    start is passed over, a comment, script or tag that doesn't end takes the rest. Time grows with the length of the page.
     """
     html = html or ""
     out: list[Block] = []
     open_: list[tuple[str, tuple[str, ...]]] = []
+    count: Counter[str] = Counter()
     words: list[str] = []
     link, in_links, total = 0, 0, 0
 
@@ -81,6 +89,11 @@ def blocks(html: str | None) -> list[Block]:
             total += n
             in_links += n if link else 0
 
+    def close(i: int) -> None:
+        for tag, _ in open_[i:]:
+            count[tag] -= 1
+        del open_[i:]
+
     at = 0
     while m := MARKUP.search(html, at):
         take(html[at : m.start()])
@@ -93,10 +106,10 @@ def blocks(html: str | None) -> list[Block]:
         if m[1]:
             if tag in INLINE:
                 link = max(0, link - 1) if tag == "a" else link
-            elif any(t == tag for t, _ in open_):
+            elif count[tag]:
                 flush()
-                while open_.pop()[0] != tag:
-                    pass
+                inner = next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag)
+                close(inner)
                 link = 0
             elif tag == "p":
                 flush()
@@ -116,22 +129,24 @@ def blocks(html: str | None) -> list[Block]:
         flush()
         if tag in VOID:
             continue
-        if tag in ENDS:
+        if tag in ENDS and any(count[x] for x in ENDS[tag]):
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] in ENDS[tag]:
-                    del open_[i:]
+                    close(i)
                     break
                 if open_[i][0] in ("ul", "ol", "dl", "table", "select"):
                     break
-        else:
+        elif tag not in ENDS and count["p"]:
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == "p":
-                    del open_[i:]
+                    close(i)
                     break
                 if open_[i][0] in BARRIER:
                     break
         link = 0
-        open_.append((tag, _names(m[3]) if m[3] else ()))
+        if len(open_) < DEEPEST:
+            open_.append((tag, _names(m[3]) if m[3] else ()))
+            count[tag] += 1
     take(html[at:])
     flush()
     return out
@@ -216,7 +231,11 @@ def made_page(rnd: random.Random) -> list[tuple[Block, int]]:
         tag, names = _tag(rnd.choice(_WRAP + _KEEP[:5]))
         body = body + [tag, *names]
     if rnd.random() < 0.8:
-        add(body + ["h1"], prose(rnd.choice([1, 3, 8, 12])), 1)
+        # an article's own header holds its title; a page's doesn't
+        own = ["header"] if tag in ("article", "main") and rnd.random() < 0.3 else []
+        add(body + own + ["h1"], prose(rnd.choice([1, 3, 8, 12])), 1)
+        if own and rnd.random() < 0.7:
+            add(body + own + rnd.choice([["p"], ["p", ".byline"], ["div", ".byline"], ["p", ".lead"]]), prose(rnd.choice([2, 4, 10])), 1)
     same = [prose(rnd.choice([1, 2, 5])) for _ in range(2)] if rnd.random() < 0.15 else []
     for _ in range(rnd.choice([1, 2, 3, 5, 8, 15] * 4 + [60, 150])):
         r = rnd.random()
@@ -224,7 +243,9 @@ def made_page(rnd: random.Random) -> list[tuple[Block, int]]:
             drop(rnd.choice(["advert", "side", "notice", "form", "comment", "menu", "hidden"]), body)
         else:
             inner = rnd.choice([["p"]] * 8 + [[], ["h2"], ["h3"], ["ul", "li"], ["ol", "li"], ["blockquote"], ["blockquote", "p"], ["table", "tbody", "tr", "td"], ["table", "tr", "td"], ["pre"], ["figure", "figcaption"], ["dl", "dd"], ["section", "p"], ["div"], ["div", "p"]])
-            add(body + inner, rnd.choice(same) if same else prose(rnd.choice([1, 1, 2, 5, 15, 40, 80, 150])), 1, rnd.choice([0.0, 0.0, 0.0, 0.2, 1.0]))
+            # entries of lists and cells of tables come in runs
+            for _ in range(rnd.choice([1, 2, 3, 5]) if inner[-1:] in (["li"], ["td"], ["dd"]) else 1):
+                add(body + inner, rnd.choice(same) if same else prose(rnd.choice([1, 1, 2, 5, 15, 40, 80, 150])), 1, rnd.choice([0.0, 0.0, 0.0, 0.2, 1.0]))
     for kind in rnd.sample(["comment", "side", "footer", "advert", "notice", "form", "menu"], rnd.randint(0, 5)):
         drop(kind, base if rnd.random() < 0.7 else body)
     return out
@@ -383,22 +404,17 @@ def main_texts(model: Model, pages: list[str | None]) -> list[str]:
 
 
 def extract(pages: DataFrame, html: str = "html", s: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """pages without html and with text and n_chars, its code points.
+    """pages without html and with text and n_chars, its code points; columns called so give way.
 
     Blocks that the model takes for the article's, in page order, joined by one line end; nothing of them is cut. Null, empty
     and textless pages: empty text. Rows are read one by one, so that ids may be null or repeat. Empty table: no rows.
     """
-    spark: SparkSession = pages.sparkSession
-    bound_batches(spark)
-    sent = spark.sparkContext.broadcast(trained(s))  # some 100,000 numbers
-    kept = [f for f in pages.schema.fields if f.name not in (html, "text", "n_chars")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                texts = main_texts(sent.value, part[html].tolist())
-                yield part[[f.name for f in kept]].assign(text=texts, n_chars=[len(t) for t in texts])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return pages.mapInPandas(run, schema + (", " if kept else "") + "text string, n_chars long")
+    sent = pages.sparkSession.sparkContext.broadcast(trained(s))  # some 100,000 numbers
+
+    def found(column: pa.Array) -> list[pa.Array]:
+        texts: list[str] = []
+        for at in range(0, len(column), 256):
+            texts += main_texts(sent.value, column[at : at + 256].to_pylist())
+        return [pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
+
+    return append(pages, html, T.StructType().add("text", "string").add("n_chars", "long"), found, (html,))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.functions.grouped import pack, unpacked
+
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -38,25 +40,38 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), budget:
     return s.select("source", "source_size", target.alias("target"))
 
 
+ADDED = ("_size", "_source_size", "_target", "_rate", "_copies")
+
+
+def _mixed(docs: DataFrame, weights: Sequence[int], budget: float, most: int, seed: int) -> DataFrame:
+    """docs' rows as structs, row, beside the columns of ADDED: names of docs meet none of these."""
+    sized = pack(docs, of=F.col("source"), id=F.col("doc_id").cast("string"), _size=count_words(F.col("text")))
+    sizes = docs.select("source", count_words(F.col("text")).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
+    targets = source_targets(sizes, weights, budget, most).select("source", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    # 52 bits of a digest as a number from 0 to 1
+    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("id"), F.lit("null")))), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
+    copies = F.floor("_rate") + F.when(draw < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
+    return sized.join(targets, F.col("of").eqNullSafe(F.col("source"))).withColumn("_rate", rate).withColumn("_copies", copies.cast("long"))
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
     """docs(doc_id, text, source, ...): adds _size, _source_size, _target, _rate and _copies to every row.
 
     _copies is floor(rate) plus one copy with the probability of the fraction, decided by a hash of seed and doc_id, so
     reruns agree; rate is target / source_size. Null text: size 0. Null source: a source of its own, last. A source of no
-    words has target 0 and no copies. Rows with one doc_id (null too) share a draw. Empty table: no rows. The join is with one
-    row per source, which Spark broadcasts when it is small and splits when a source is hot.
+    words has target 0 and no copies. Rows with one doc_id (null too) share a draw. A column of docs that is called like an
+    added one gives way. Empty table: no rows. The join is with one row per source, which Spark broadcasts when it is small
+    and splits when a source is hot.
     """
-    sized = docs.withColumn("_size", count_words(F.col("text")))
-    sizes = docs.select("source", count_words(F.col("text")).alias("_n")).groupBy("source").agg(F.sum("_n").alias("source_size"))
-    targets = source_targets(sizes, weights, budget, most).select(F.col("source").alias("_s"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    # 52 bits of a digest as a number from 0 to 1
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("_rate") + F.when(draw < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    return sized.join(targets, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_rate", rate).withColumn("_copies", copies.cast("long"))
+    own = [c for c in docs.columns if c.lower() not in ADDED]
+    return _mixed(docs, weights, budget, most, seed).select(*unpacked(own), *ADDED)
+
 
+def repeat(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), budget: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
+    """The mixed corpus: every row of docs as many times as mix() says, with the columns of docs, whatever they are called.
 
-def repeat(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: every row of docs as many times as mix() says, with the columns of docs."""
-    cols = docs.columns
-    return mix(docs, **how).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in cols])
+    A text of no words has size 0 and its source's rate as any other. Empty table: no rows.
+    """
+    taken = _mixed(docs, weights, budget, most, seed).filter("_copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("copy")).select(*unpacked(docs.columns))

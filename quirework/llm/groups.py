@@ -1,57 +1,11 @@
-"""Groups of a sorted stream of Arrow batches, and connected components of a table of links."""
+"""Connected components of a table of links."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.session import bound_batches, cut
-
-
-def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of rows that follow one another with equal keys; a group may span batches."""
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        if b.empty:
-            continue
-        new = np.zeros(len(b), bool)
-        for k in keys:
-            v = b[k].to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        cuts = [0, *np.flatnonzero(new), len(b)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            part = b.iloc[lo:hi]
-            if held and any(held[-1][k].iloc[-1] != part[k].iloc[0] for k in keys):
-                yield pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
-
-
-def by_runs(df: DataFrame, keys: list[str], order: list[str], f: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
-    """f over the groups of df with equal keys: one sort, no call into Python per group. Groups have to be bounded."""
-    bound_batches(df.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[pd.DataFrame] = []
-        n = 0
-        for group in runs(batches, keys):
-            got = f(group)
-            if got is not None and len(got):
-                out.append(got)
-                n += len(got)
-            if n > 5000:
-                yield pd.concat(out)
-                out, n = [], 0
-        if out:
-            yield pd.concat(out)
-
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+from quirework.session import cut
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:

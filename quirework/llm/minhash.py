@@ -9,16 +9,18 @@ k - SHARED + 1: a passage that many documents hold lists nobody who has enough e
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quirework.llm.groups import by_runs, components
-from quirework.session import bound_batches, cut
+from quirework.functions.grouped import append, by_runs, pack, unpacked
+from quirework.llm.groups import components
+from quirework.session import cut
 
 #: Values of a sketch.
 K = 48
@@ -91,19 +93,20 @@ def _signed(s: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text: str, width: int, k: int) -> DataFrame:
-    """(doc_id, node, n, sketch): node is 128 bits of the set, equal for equal sets; null for an empty one."""
-    bound_batches(docs.sparkSession)
+    """(_id, _mark, node, n, sketch): _mark is a hash of the text; node is 128 bits of the set, equal for equal sets; null for an empty one."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, t in zip(b["_id"], b["_text"], strict=True):
-                s = shingles(t, width)
-                rows.append((i, _node(s) if len(s) else None, len(s), _signed(s[:k])))
-            yield pd.DataFrame(rows, columns=["_id", "node", "n", "sketch"], dtype=object)
+    def found(texts: pa.Array) -> list[pa.Array]:
+        nodes, sizes, kept = [], [], []
+        for t in texts:
+            s = shingles(t.as_py(), width)
+            nodes.append(_node(s) if len(s) else None)
+            sizes.append(len(s))
+            kept.append(_signed(s[:k].copy()))
+        return [pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(kept, pa.list_(pa.int64()))]
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).mapInPandas(run, f"_id {kind}, node binary, n long, sketch array<long>")
+    added = T.StructType.fromDDL("node binary, n long, sketch array<long>")
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_mark"), F.col(text).alias("_text"))
+    return append(rows, "_text", added, found, ("_text",))
 
 
 def _estimate(a: np.ndarray, b: np.ndarray, k: int) -> int:
@@ -251,6 +254,15 @@ def links(nodes: DataFrame, texts: DataFrame, width: int, percent: int, k: int)
     return near.union(far)
 
 
+def _rooted(docs: DataFrame, id_col: str, text: str, width: int, percent: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(_id, _mark, node, n) of every row, and (_node, root), the component of every set that isn't empty."""
+    base = cut(sketches(docs, id_col, text, width, k))
+    nodes = cut(base.filter("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    roots = components(links(nodes, texts, width, percent, k))
+    return base, nodes.select(F.col("node").alias("_node"), "id").join(roots, F.col("_node") == F.col("node"), "left").select("_node", "id", F.coalesce("root", "_node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): a row for every row of docs.
 
@@ -260,11 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Rows of equal sets, repeated rows among them, are one node. A row without id is linked as others are; it never names a
     component, and is kept if no row with an id is in its component. Empty table: no rows.
     """
-    base = cut(sketches(docs, id_col, text, width, k))
-    nodes = cut(base.filter("node IS NOT NULL").groupBy("node").agg(F.min("_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    roots = components(links(nodes, texts, width, percent, k))
-    named = nodes.select(F.col("node").alias("_node"), "id").join(roots, F.col("_node") == F.col("node"), "left").select("_node", "id", F.coalesce("root", "_node").alias("root"))
+    base, named = _rooted(docs, id_col, text, width, percent, k)
     least = named.groupBy("root").agg(F.min("id").alias("least"))
     names = named.join(least, "root").select("_node", "least")
     out = base.join(names, F.col("node") == F.col("_node"), "left")
@@ -272,11 +280,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs without the rows that near_duplicates() doesn't keep; of rows with one id and text, one stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85, k: int = K) -> DataFrame:
+    """docs with one row of each component of near_duplicates(), and the rows without words.
 
-    Rows that share an id go together. Rows without id can't be told apart by it and stay.
+    The row with the least id stays (one without id where none has one); of rows with that id and different texts, which may
+    stand in other components too, one text's; of rows equal in id and text, with words or without, one. So no row goes by its id alone, and no
+    text of which there is no copy. Empty table: no rows.
     """
-    gone = near_duplicates(docs, id_col, text, **how).filter("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return left.withColumn("_h", F.xxhash64(text)).dropDuplicates([id_col, "_h"]).drop("_h")
+    base, named = _rooted(docs, id_col, text, width, percent, k)
+    rows = base.join(named.select("_node", "root"), F.col("node") == F.col("_node")).select("root", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_mark").alias("mark")).alias("row"))
+    stays = rows.groupBy("root").agg(F.min("row").alias("first")).select("root", "first")
+    gone = rows.join(stays, "root").filter(F.col("row") != F.col("first")).select("row.id", "row.mark").distinct()
+    # a row that is the first of its component is no other's: equal texts are of one component
+    packed = pack(docs, of=F.col(f"`{id_col}`"), mark=F.xxhash64(F.col(f"`{text}`")))
+    left = packed.join(gone, F.col("of").eqNullSafe(F.col("id")) & (packed["mark"] == gone["mark"]), "left_anti")
+    one = left.groupBy("of", "mark").agg(F.first("row").alias("row"))
+    return one.select(*unpacked(docs.columns))

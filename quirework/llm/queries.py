@@ -25,9 +25,9 @@ def query(sql: str | None = None):
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, source, unnest(list_distinct(list_filter(list_transform(ls, lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')), lambda x: x <> ''))) AS line FROM d),
 t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
-b AS (SELECT l.source, line FROM l JOIN t ON l.source = t.source GROUP BY l.source, line, total HAVING count(*) >= 5 AND count(*) > total * 0.05),
+b AS (SELECT l.source, line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source GROUP BY l.source, line, total HAVING count(*) > (total + 30) * CAST(0.05 AS DOUBLE)),
 g AS (SELECT source, list(line) AS bad FROM b GROUP BY source),
-x AS (SELECT d.doc_id, d.source, d.ls, coalesce(g.bad, []) AS bad, list_transform(d.ls, lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS ts FROM d LEFT JOIN g ON d.source = g.source)
+x AS (SELECT d.doc_id, d.source, d.ls, coalesce(g.bad, []) AS bad, list_transform(d.ls, lambda x: trim(x, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS ts FROM d LEFT JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, source,
   CAST(len(list_filter(ts, lambda x: x <> '')) AS BIGINT) AS n_lines,
   CAST(len(list_filter(ts, lambda x: x <> '' AND list_contains(bad, x))) AS BIGINT) AS n_dropped,
@@ -93,10 +93,10 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+WITH v AS (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, q.row, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.row <> c.row),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """)
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,10 @@ def test_near_duplicates_of_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in minhash.near_duplicates(d).collect())
     assert got == [(-1, -1, True), (-1, 5, False), (2, 2, True), (5, 5, True), (5, 5, True)]
     one = minhash.keep_one(d)
-    assert one.columns == d.columns and sorted(str(r.doc_id) for r in one.collect()) == ["2", "5", "None", "None"]
+    assert one.columns == d.columns and sorted(str(r.doc_id) for r in one.collect()) == ["2", "5", "None"]
+    # rows go by row, not by id: B has no copy
+    d = spark.createDataFrame([(1, "a a b c", "en", "s", 0), (2, "a a b c", "en", "s", 0), (2, "other words here now", "en", "s", 0), (3, "", "en", "s", 0), (4, None, "en", "s", 0), (3, " ", "en", "s", 0)], DOCS)
+    assert sorted(((r.doc_id, r.text) for r in minhash.keep_one(d).collect()), key=str) == sorted([(1, "a a b c"), (2, "other words here now"), (3, ""), (3, " "), (4, None)], key=str)
     assert minhash.near_duplicates(d.limit(0)).count() == 0
 
 
@@ -106,8 +109,16 @@ def test_top_k_equals_brute_force(spark):
     rows = lambda tile: {tuple(r) for r in topk.top_k(d, tile=tile).collect()}
     assert rows((3, 20)) == rows((1000, 1000)) == best(v)
     assert topk.top_k(d.limit(0)).count() == 0
-    huge = spark.createDataFrame([(0, [1e17]), (1, [2e17]), (2, [1e16])], "vec_id long, embedding array<double>")
-    assert [(r.vec_id, r.score) for r in topk.top_k(huge).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, 2**63 - 1)]
+    huge = spark.createDataFrame([(0, [1e17]), (1, [2e17]), (2, [1e16]), (3, [1e306]), (4, [-1e308]), (5, [3.5]), (6, [0.0])], "vec_id long, embedding array<double>")
+    for tile in ((1, 1), (1000, 1000)):
+        assert [(r.vec_id, r.score) for r in topk.top_k(huge, tile=tile).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, 2**63 - 1), (3, 2**63 - 1), (5, 2**63 - 1), (6, 0), (4, -(2**63))]
+
+
+def test_top_k_of_repeated_ids(spark):
+    d = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [1.0, 1.0]), (100, [0.0, 1.0]), (100, [0.0, 2.0])], "vec_id long, embedding array<float>")
+    for tile in ((1, 1), (1000, 1000)):
+        got = [(r.query_id, r.rank, r.vec_id, r.score >> 20) for r in topk.top_k(d, k=3, tile=tile).collect()]
+        assert sorted(got) == sorted([(0, 1, 1, 3), (0, 2, 1, 2), (0, 3, 2, 1), (100, 1, 100, 2), (100, 2, 2, 1), (100, 3, 0, 0), (100, 1, 2, 2), (100, 2, 100, 2), (100, 3, 0, 0)])
 
 
 # -- archives
@@ -208,3 +219,39 @@ def test_gradients_agree_with_differences():
         down = loss()
         m.p[k][at] = old
         assert abs((up - down) / (2 * e) - g[k][at]) < 1e-3, k
+
+
+def test_broken_markup_is_read_in_time_that_grows_with_it():
+    import time
+
+    for bad in ('<a "', "<a '", '<a ="', "<p x='", "<", "</", "<div>", "<div></p>", "<p><button><div>", "<ul><div><li>", "<!--", "<![CDATA[", "<script>", '<p title="oops>First', "&amp", '<div class="a b c">x'):
+        began = time.perf_counter()
+        html_extract.blocks(bad * (1_000_000 // len(bad)))
+        assert time.perf_counter() - began < 10, bad
+    text = lambda h: [b.text for b in html_extract.blocks(h)]
+    assert text('<p title="oops>First') == ["First"] and text('<p title="a > b" x>First</p><p y=">">2') == ["First", "2"]
+    assert text("5 < 6 and <b>7</b> > 6<div a=b>c") == ["5 < 6 and 7 > 6", "c"]
+
+
+# Pages written by hand, with the text that a reader would take for the article.
+BY_HAND = [
+    ("""<html><body><div id=top><a href=/>The Valley Courier</a></div><div class=menu><a href=1>Sport</a> <a href=2>Weather</a></div>
+<article><header><h1>Bridge reopens after two years</h1><p class=byline>By Ada Smith</p></header><p>The old bridge was opened again on Monday.</p>
+<h2>What it cost</h2><p>Some <a href=x>four million</a> crowns were spent.</p></article>
+<div class="sidebar"><h3>Most read</h3><ul><li><a href=a>Cat on roof</a><li><a href=b>Rain ahead</a></ul></div><footer>Valley Press 2024</footer></body></html>""",
+     "Bridge reopens after two years\nBy Ada Smith\nThe old bridge was opened again on Monday.\nWhat it cost\nSome four million crowns were spent."),
+    ("""<!doctype html><title>Soup</title><header class="site-header"><div class="logo">Cook &amp; Co</div><nav><a href=/>Home</a></nav></header>
+<main><h1>Leek soup</h1><p>Wash two leeks.<br>Cut them.</p><ol><li>Boil water<li>Add the leeks</ol><div class="advert">Buy pans now</div>
+<blockquote>Never salt it early.</blockquote></main><section class="comments"><h2>3 comments</h2><div class="comment">Lovely!</div></section>
+<div class="cookie-banner">We use cookies <button>OK</button></div><script>if (a < b) document.write("<p>x</p>")</script>""",
+     "Leek soup\nWash two leeks. Cut them.\nBoil water\nAdd the leeks\nNever salt it early."),
+    ("""<body><form class=search><input name=q><button>Find</button></form><div class="post"><h2>On walls</h2><p>Walls stand.</p><table><tr><td>Height</td><td>2 m</td></tr></table>
+<p>They &quot;fall&quot; too.</p></div><aside>Related: On doors</aside><div class="footer"><p>Imprint</p></div>""",
+     'On walls\nWalls stand.\nHeight\n2 m\nThey "fall" too.'),
+]
+
+
+@pytest.mark.parametrize("page", range(len(BY_HAND)))
+def test_pages_by_hand(page):
+    html, want = BY_HAND[page]
+    assert html_extract.main_texts(html_extract.trained(), [html]) == [want]

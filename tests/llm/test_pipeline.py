@@ -42,7 +42,7 @@ def test_pipeline(spark, tmp_path):
     size = {s: sum(r[3] == s for r in kept.values()) for s in {r[3] for r in kept.values()}}
     clean = {}
     for i, r in kept.items():
-        text = "\n".join(x for x in r[1].split("\n") if not x.strip() or not (len(pages[r[3], x.strip()]) >= 5 and len(pages[r[3], x.strip()]) > 0.05 * size[r[3]]))
+        text = "\n".join(x for x in r[1].split("\n") if not x.strip() or len(pages[r[3], x.strip()]) <= 0.05 * (size[r[3]] + 30))
         clean[i] = (i, text, r[2], r[3], len(text))
     got = stages["line_dedup"](spark, spark.createDataFrame(list(kept.values()), DOCS), folder)
     assert {r.doc_id: tuple(r) for r in got.collect()} == clean and any(clean[i][1] != kept[i][1] for i in clean)

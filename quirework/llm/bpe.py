@@ -1,4 +1,4 @@
-"""Byte-level BPE encoding and decoding by tree reduction over a text's pieces."""
+"""Byte-level BPE encoding and decoding by tree reduction: halves are encoded, neighbours joined through growing windows."""
 
 from __future__ import annotations
 
@@ -6,118 +6,229 @@ import base64
 import hashlib
 import heapq
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirework.session import bound_batches
 
-#: Bytes of a piece that are encoded at once; longer pieces are halved.
+#: Characters of a text, and bytes of a match, that are a leaf of the tree; whatever is longer is halved.
 LEAF = 48
-#: Characters of a text that are encoded at once; longer texts are halved.
-TEXT_LEAF = 4096
+#: Matches at the end of a part that what follows it may change: none of the pattern's looks beyond its next but one.
+LOOK = 2
+#: Ids whose bytes are a leaf of the tree of decoding.
+IDS = 4096
+#: Matches whose ids a worker remembers, at most.
+MEMO = 400_000
 INF = 1 << 60
-
-
-def merge_all(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The tokens of data: the pair of lowest rank, leftmost first, is merged until none has a rank."""
-    n = len(data)
-    if n <= LEAF:
-        parts = [data[i : i + 1] for i in range(n)]
-        pairs = [ranks.get(a + b, INF) for a, b in zip(parts, parts[1:], strict=False)]
+#: Ids are below it.
+WIDE = 1 << 24
+
+
+class Vocabulary:
+    """Ranks of tokens, which are their ids, and the tokens of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        inverse = {v: k for k, v in ranks.items()}
+        if len(inverse) < len(ranks) or max(inverse, default=0) >= WIDE:
+            raise ValueError(f"ranks have to be different and below {WIDE}")
+        self.tokens = [inverse.get(i) for i in range(max(inverse, default=-1) + 1)]
+        self.single = [ranks.get(bytes([i])) for i in range(256)]
+        if None in self.single:
+            raise ValueError("a byte has no rank")
+        #: the token of two neighbours, by both of their ids in one number
+        self.merged = {ranks[k[:i]] * WIDE + ranks[k[i:]]: v for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
+
+    def merge_all(self, data: bytes) -> list[int]:
+        """The ids of data: the neighbours whose token has the lowest rank, leftmost first, are merged until none have one."""
+        single, get = self.single, self.merged.get
+        ids = [single[x] for x in data]
+        if len(ids) > 256:
+            return self.merge_long(ids)
+        pairs = [get(a * WIDE + b, INF) for a, b in zip(ids, ids[1:], strict=False)]
         while pairs and (low := min(pairs)) < INF:
             i = pairs.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            ids[i] = low
+            del ids[i + 1], pairs[i]
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], INF)
+                pairs[i - 1] = get(ids[i - 1] * WIDE + low, INF)
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1], INF)
-        return parts
-    # long windows: a heap of pairs over a linked list of cut points
-    after, before = list(range(1, n + 1)) + [n + 1], list(range(-1, n))
-    heap = [(r, i) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    alive = [True] * n
-    while heap:
-        r, i = heapq.heappop(heap)
-        if not alive[i] or (j := after[i]) >= n or ranks.get(data[i : after[j]]) != r:
-            continue
-        alive[j] = False
-        after[i] = end = after[j]
-        if end <= n:
-            before[end] = i
-        for k in (before[i], i):
-            if k >= 0 and (m := after[k]) < n and (r := ranks.get(data[k : after[m]])) is not None:
-                heapq.heappush(heap, (r, k))
-    out, i = [], 0
-    while i < n:
-        out.append(data[i : after[i]])
-        i = after[i]
-    return out
-
-
-def join(left: list[bytes], right: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
-    """The tokens of the bytes of left and right together, which are the tokens of their own bytes.
-
-    Where every token of a vocabulary encodes to itself, a list of tokens is the encoding of its bytes exactly if each
-    neighbouring pair is the encoding of that pair's bytes. So a window about the border that is encoded anew settles the
-    whole as soon as its outermost token on either side is the one that stood there: all pairs outside are then as before.
+                pairs[i] = get(low * WIDE + ids[i + 1], INF)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """merge_all() of many bytes: a heap of pairs over a linked list of ids."""
+        n, get = len(ids), self.merged.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := get(ids[i] * WIDE + ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            # a pair that has changed since is passed over
+            if ids[i] < 0 or (j := after[i]) >= n or get(ids[i] * WIDE + ids[j]) != r:
+                continue
+            ids[i], ids[j] = r, -1
+            after[i] = end = after[j]
+            if end < n:
+                before[end] = i
+            for k in (before[i], i):
+                if k >= 0 and (m := after[k]) < n and (r := get(ids[k] * WIDE + ids[m])) is not None:
+                    heapq.heappush(heap, (r, k))
+        return [x for x in ids if x >= 0]
+
+    def join(self, left: list[int], right: list[int]) -> list[int]:
+        """The ids of the bytes of left and right together, which are the ids of their own bytes.
+
+        Where every token of a vocabulary encodes to itself, a list of tokens is the encoding of its bytes exactly if each
+        neighbouring pair is the encoding of that pair's bytes. So a window about the border that is encoded anew settles the
+        whole as soon as its outermost token on either side is the one that stood there: all pairs outside are then as before.
+        """
+        if not left or not right:
+            return left + right
+        a = b = 1
+        while True:
+            window = self.merge_all(self.bytes(left[-a:] + right[:b]))
+            fits_left, fits_right = a >= len(left) or window[0] == left[-a], b >= len(right) or window[-1] == right[b - 1]
+            if fits_left and fits_right:
+                return left[:-a] + window + right[b:]
+            if not fits_left:
+                a = min(2 * a, len(left))
+            if not fits_right:
+                b = min(2 * b, len(right))
+
+    def match(self, data: bytes) -> list[int]:
+        """The ids of one match of the pattern: halves are encoded and joined, up the tree."""
+        if len(data) <= LEAF:
+            return self.merge_all(data)
+        half = len(data) // 2
+        return self.join(self.match(data[:half]), self.match(data[half:]))
+
+    def bytes(self, ids: list[int]) -> bytes:
+        return b"".join([self.tokens[i] for i in ids])
+
+    def decode(self, ids: list[int]) -> bytes:
+        """The bytes of ids, concatenated up the tree. KeyError: an id that the vocabulary lacks."""
+        if len(ids) <= IDS:
+            if ids and (None in ids or min(ids) < 0 or max(ids) >= len(self.tokens)):
+                raise KeyError("an id that the vocabulary lacks")
+            found = [self.tokens[i] for i in ids]
+            if None in found:
+                raise KeyError("an id that the vocabulary lacks")
+            return b"".join(found)
+        half = len(ids) // 2
+        return self.decode(ids[:half]) + self.decode(ids[half:])
+
+
+class Encoder(dict):
+    """Texts to ids by one vocabulary and pattern; as a dict, what it remembers: match -> (match, ids).
+
+    A part of a text is the list of its matches, each with its ids, as the pattern finds them in that part alone. Two parts
+    are joined by matching a window about the border anew: from LOOK matches before it, since no match but the last LOOK of a
+    part depends on what follows the part, to where a match of the window ends at the end of one of the right part. From
+    there on the pattern meets the characters it met in the right part, so that all later matches stay. A match that the
+    window makes of whole old ones takes their ids, joined in turn; others are encoded anew.
     """
-    if not left or not right:
-        return left + right
-    a = b = 1
-    while True:
-        window = merge_all(b"".join(left[-a:] + right[:b]), ranks)
-        fits_left, fits_right = a >= len(left) or window[0] == left[-a], b >= len(right) or window[-1] == right[b - 1]
-        if fits_left and fits_right:
-            return left[: len(left) - a] + window + right[b:] if a < len(left) else window + right[b:]
-        if not fits_left:
-            a = min(2 * a, len(left))
-        if not fits_right:
-            b = min(2 * b, len(right))
-
-
-def encode_piece(data: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The tokens of one match of the pattern: halves are encoded and joined, up the tree."""
-    if len(data) <= LEAF:
-        return merge_all(data, ranks)
-    half = len(data) // 2
-    return join(encode_piece(data[:half], ranks), encode_piece(data[half:], ranks), ranks)
-
 
-class Encoder:
-    """Texts to ids by one vocabulary and pattern.
-
-    No merge crosses a match of the pattern, so joining at the end of a match is plain concatenation. A single blank between
-    two characters that aren't white space always starts a match, and no match before it looks beyond it: halving a text
-    there needs no repair. Where a text has no such blank, its matches are encoded one by one, long ones by encode_piece().
-    """
+    def __init__(self, vocabulary: Vocabulary, pattern: str, memo: int = MEMO):
+        super().__init__()
+        self.vocabulary, self.memo, self.older = vocabulary, memo // 2, {}
+        self.find = regex.compile(pattern).findall
+        self.joins = 0  #: how often parts of a text were joined
+
+    def __missing__(self, match: str) -> tuple[str, list[int]]:
+        found = self.older.get(match)
+        if found is None:
+            found = (match, self.vocabulary.match(match.encode()))
+            if len(match) > LEAF:
+                return found
+        if len(self) >= self.memo:
+            # what has been used since the last time stays
+            self.older = self.copy()
+            self.clear()
+        self[match] = found
+        return found
+
+    def join(self, left: list, right: list) -> list:
+        """The matches of two neighbouring parts together. left may be changed."""
+        self.joins += 1
+        if len(left) >= LOOK and len(right) > LOOK + 2:
+            # nearly always the border stands within the last match or after it, and all else stays
+            x, y = left[-2][0], left[-1][0]
+            z = right[0][0]
+            window = self.find(f"{x}{y}{z}{right[1][0]}{right[2][0]}{right[3][0]}")
+            if len(window) > LOOK + 1:
+                end = len(window[0]) + len(window[1]) - len(x) - len(y)
+                if not end and window[0] == x:
+                    left += right
+                    return left
+                if end == len(z) and len(window[1]) <= LEAF and window[0] == x:
+                    left[-1] = self[window[1]]
+                    left += right[1:]
+                    return left
+        old = left[-LOOK:]
+        before = "".join([x for x, _ in old])
+        b = 2
+        while True:
+            b = min(2 * b, len(right))
+            ends, at = {}, len(before)
+            for i in range(b):
+                at += len(right[i][0])
+                ends[at] = i + 1
+            window = self.find(before + "".join([x for x, _ in right[:b]]))
+            # the last matches of the window may depend on what follows it
+            sure = len(window) if b == len(right) else len(window) - LOOK
+            at, new, place = 0, [], 0
+            for x in window[:sure]:
+                new.append(x)
+                at += len(x)
+                if at in ends:
+                    place = ends[at]
+                    break
+            if place or b == len(right):
+                break
+        place = place or len(right)
+        left[-LOOK:] = self.rebuilt(new, old + right[:place])
+        left += right[place:]
+        return left
+
+    def rebuilt(self, matches: list[str], old: list) -> list:
+        """The matches with their ids; a long one that is made of whole old matches takes theirs."""
+        out, at, i, begin = [], 0, 0, 0
+        for x in matches:
+            end = at + len(x)
+            while i < len(old) and begin < at:
+                begin += len(old[i][0])
+                i += 1
+            if len(x) <= LEAF or begin != at:
+                out.append(self[x])
+            else:
+                ids, j, stop = None, i, begin
+                while j < len(old) and stop < end:
+                    stop += len(old[j][0])
+                    ids = old[j][1] if ids is None else self.vocabulary.join(ids, old[j][1])
+                    j += 1
+                out.append((x, ids) if stop == end else self[x])
+            at = end
+        return out
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf: int = TEXT_LEAF):
-        self.ranks, self.size = ranks, leaf
-        self.matches = regex.compile(pattern).findall
-        self.blank = regex.compile(r"(?<=\S) (?=\S)").search
-        # the sequential encoder of leaves: texts too short to be worth halving
-        self.leaf = tiktoken.Encoding("leaf", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    def matches(self, text: str) -> list:
+        """The matches of a text with their ids: its halves are matched and encoded, then joined."""
+        leaves = -(-len(text) // LEAF)
+        if leaves < 2:
+            return [self[x] for x in self.find(text)]
+        half = (leaves + 1) // 2 * LEAF
+        return self.join(self.matches(text[:half]), self.matches(text[half:]))
 
     def encode(self, text: str) -> list[int]:
-        if len(text) <= self.size:
-            return self.leaf(text)
-        middle = len(text) // 2
-        found = self.blank(text, middle) or self.blank(text, 0, middle)
-        if found:
-            return self.encode(text[: found.start()]) + self.encode(text[found.start() :])
         out: list[int] = []
-        for match in self.matches(text):
-            data = match.encode()
-            out += self.leaf(match) if len(data) <= self.size else [self.ranks[x] for x in encode_piece(data, self.ranks)]
+        for _, ids in self.matches(text):
+            out += ids
         return out
 
 
@@ -127,70 +238,95 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
 
 
-def _ship(spark: SparkSession, ranks: dict[bytes, int]):
-    """The vocabulary, whose size is fixed, to every executor."""
-    return spark.sparkContext.broadcast(ranks)
+_sent: dict[tuple[str, str], Broadcast] = {}
 
 
-_workers: dict[str, object] = {}
+def _ship(docs: DataFrame, ranks: dict[bytes, int]) -> tuple[Broadcast, str]:
+    """The vocabulary, whose size is fixed, to every executor, once in a session; and its digest."""
+    context = docs.sparkSession.sparkContext
+    mark = hashlib.sha256(b"".join(b"%d %d " % (r, len(k)) + k for k, r in sorted(ranks.items()))).hexdigest()
+    if (context.applicationId, mark) not in _sent:
+        _sent.clear()
+        _sent[context.applicationId, mark] = context.broadcast(ranks)
+    return _sent[context.applicationId, mark], mark
 
 
-def _once(key: str, make):
-    """make(), kept in this worker under key."""
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = make()
-    return _workers[key]
+_worker: dict[str, object] = {}
 
 
-def _mark(ranks: dict[bytes, int], pattern: str = "") -> str:
-    return hashlib.sha256(repr((len(ranks), sorted(ranks.items())[:: max(1, len(ranks) // 64)], pattern)).encode()).hexdigest()
+def _encoder(sent: Broadcast, mark: str, pattern: str) -> Encoder:
+    """This worker's only encoder: a table a worker, whatever it is used for."""
+    key = mark + pattern
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = Encoder(Vocabulary(sent.value), pattern)
+    return _worker[key]
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """docs without text and with its ids, array<int>. Null text counts as empty: no ids. Rows are encoded one by one, whole."""
-    spark = docs.sparkSession
-    bound_batches(spark)
-    kept = [f for f in docs.schema.fields if f.name != text]
-    data, mark = _ship(spark, ranks), "enc" + _mark(ranks, pattern)
+def _map(docs: DataFrame, ranks: dict[bytes, int], pattern: str, drop: tuple[str, ...], column: str, added: T.StructType, f: Callable[[Encoder, pa.Array], list[pa.Array]]) -> DataFrame:
+    """docs without the columns of drop and with those that f makes of one column; the others travel as they are."""
+    bound_batches(docs.sparkSession)
+    kept = [x for x in docs.schema.fields if x.name not in drop]
+    sent, mark = _ship(docs, ranks)
+    names = [x.name for x in kept] + added.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc: Encoder = _once(mark, lambda: Encoder(data.value, pattern))
         for b in batches:
-            # one text at a time: ids take far more room as Python's numbers than as the text
-            flat, ends = array("i"), array("i", [0])
-            for t in b.column(b.schema.get_field_index(text)):
-                flat.extend(enc.encode(t.as_py() or ""))
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(f.name)) for f in kept] + [ids], [f.name for f in kept] + [out])
+            new = f(_encoder(sent, mark, pattern), b.column(b.schema.get_field_index(column)))
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(x.name)) for x in kept] + new, names)
+
+    return docs.mapInArrow(run, T.StructType(kept + added.fields))
 
-    return docs.mapInArrow(run, T.StructType(kept + [T.StructField(out, T.ArrayType(T.IntegerType()))]))
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
+    """docs without text and with its ids, array<int>; a column that is called like out gives way.
+
+    Null text counts as empty: no ids. Rows are encoded one by one, whole, so that ids may be null or repeat. Empty table: no rows.
+    """
+
+    def ids(e: Encoder, column: pa.Array) -> list[pa.Array]:
+        # one text at a time: ids take far more room as Python's numbers than as the text
+        flat, ends = array("i"), array("i", [0])
+        for t in column:
+            flat.extend(e.encode(t.as_py() or ""))
+            ends.append(len(flat))
+        return [pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))]
+
+    return _map(docs, ranks, pattern, (text, out), text, T.StructType([T.StructField(out, T.ArrayType(T.IntegerType()))]), ids)
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", out: str = "decoded") -> DataFrame:
-    """tokens with the bytes of its ids, binary: concatenation up the same tree. Null ids count as none."""
-    spark = tokens.sparkSession
-    bound_batches(spark)
-    fields = tokens.schema.fields
-    data, mark = _ship(spark, ranks), "dec" + _mark(ranks)
+    """tokens with the bytes of its ids, binary, concatenated up the tree; a column that is called like out gives way.
 
-    def table() -> list[bytes]:
-        inverse = {v: k for k, v in data.value.items()}
-        return [inverse.get(i, b"") for i in range(max(inverse, default=0) + 1)]
+    Null ids count as none: no bytes. A row with an id that is null or that the vocabulary lacks has null bytes. Empty table: no rows.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _once(mark, table).__getitem__
-        for b in batches:
-            column = b.column(b.schema.get_field_index(ids))
-            back = pa.array([b"".join(map(of, x.as_py() or ())) for x in column], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns, back], [f.name for f in fields] + [out])
+    def back(e: Encoder, column: pa.Array) -> list[pa.Array]:
+        found: list[bytes | None] = []
+        for x in column:
+            try:
+                found.append(e.vocabulary.decode(x.as_py() or []))
+            except KeyError:
+                found.append(None)
+        return [pa.array(found, pa.binary())]
 
-    return tokens.mapInArrow(run, T.StructType(fields + [T.StructField(out, T.BinaryType())]))
+    return _map(tokens, ranks, "", (out,), ids, T.StructType([T.StructField(out, T.BinaryType())]), back)
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: ids there and bytes back."""
-    there = encode(docs.select("doc_id", "text"), ranks, pattern)
-    hashed = there.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", " ").cast("binary"), 256).alias("ids_sha256"), "token_ids")
-    return decode(hashed, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: ids there and bytes back in one pass.
+
+    Null text counts as empty. Rows are taken one by one, so that ids may be null or repeat. Empty table: no rows.
+    """
+
+    def both(e: Encoder, column: pa.Array) -> list[pa.Array]:
+        n, there, back = [], [], []
+        for t in column:
+            ids = e.encode(t.as_py() or "")
+            n.append(len(ids))
+            there.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            back.append(hashlib.sha256(e.vocabulary.decode(ids)).hexdigest())
+        return [pa.array(n, pa.int64()), pa.array(there, pa.string()), pa.array(back, pa.string())]
+
+    added = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    return _map(docs.select("doc_id", "text"), ranks, pattern, ("text",), "text", added, both)

@@ -6,7 +6,7 @@ import base64
 import hashlib
 import heapq
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirework.session import bound_batches
+from quirework.functions.grouped import append
 
-#: Characters of a text, and bytes of a match, that are a leaf of the tree; whatever is longer is halved.
-LEAF = 48
+#: Characters of a text that are a leaf of the tree, and bytes of a match; whatever is longer is halved.
+TEXT_LEAF, LEAF = 256, 48
 #: Matches at the end of a part that what follows it may change: none of the pattern's looks beyond its next but one.
 LOOK = 2
 #: Ids whose bytes are a leaf of the tree of decoding.
@@ -39,6 +39,7 @@ class Vocabulary:
         if len(inverse) < len(ranks) or max(inverse, default=0) >= WIDE:
             raise ValueError(f"ranks have to be different and below {WIDE}")
         self.tokens = [inverse.get(i) for i in range(max(inverse, default=-1) + 1)]
+        self.names = list(map(str, range(len(self.tokens))))
         self.single = [ranks.get(bytes([i])) for i in range(256)]
         if None in self.single:
             raise ValueError("a byte has no rank")
@@ -115,12 +116,12 @@ class Vocabulary:
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids, concatenated up the tree. KeyError: an id that the vocabulary lacks."""
         if len(ids) <= IDS:
-            if ids and (None in ids or min(ids) < 0 or max(ids) >= len(self.tokens)):
-                raise KeyError("an id that the vocabulary lacks")
-            found = [self.tokens[i] for i in ids]
-            if None in found:
-                raise KeyError("an id that the vocabulary lacks")
-            return b"".join(found)
+            try:
+                if ids and min(ids) < 0:
+                    raise IndexError
+                return b"".join([self.tokens[i] for i in ids])
+            except (IndexError, TypeError):
+                raise KeyError("an id that the vocabulary lacks") from None
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
@@ -219,10 +220,10 @@ class Encoder(dict):
 
     def matches(self, text: str) -> list:
         """The matches of a text with their ids: its halves are matched and encoded, then joined."""
-        leaves = -(-len(text) // LEAF)
+        leaves = -(-len(text) // TEXT_LEAF)
         if leaves < 2:
             return [self[x] for x in self.find(text)]
-        half = (leaves + 1) // 2 * LEAF
+        half = (leaves + 1) // 2 * TEXT_LEAF
         return self.join(self.matches(text[:half]), self.matches(text[half:]))
 
     def encode(self, text: str) -> list[int]:
@@ -263,19 +264,9 @@ def _encoder(sent: Broadcast, mark: str, pattern: str) -> Encoder:
     return _worker[key]
 
 
-def _map(docs: DataFrame, ranks: dict[bytes, int], pattern: str, drop: tuple[str, ...], column: str, added: T.StructType, f: Callable[[Encoder, pa.Array], list[pa.Array]]) -> DataFrame:
-    """docs without the columns of drop and with those that f makes of one column; the others travel as they are."""
-    bound_batches(docs.sparkSession)
-    kept = [x for x in docs.schema.fields if x.name not in drop]
+def _with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str, added: T.StructType, f: Callable[[Encoder, pa.Array], list[pa.Array]], drop: tuple[str, ...] = ()) -> DataFrame:
     sent, mark = _ship(docs, ranks)
-    names = [x.name for x in kept] + added.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            new = f(_encoder(sent, mark, pattern), b.column(b.schema.get_field_index(column)))
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(x.name)) for x in kept] + new, names)
-
-    return docs.mapInArrow(run, T.StructType(kept + added.fields))
+    return append(docs, column, added, lambda values: f(_encoder(sent, mark, pattern), values), drop)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
@@ -292,7 +283,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
             ends.append(len(flat))
         return [pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))]
 
-    return _map(docs, ranks, pattern, (text, out), text, T.StructType([T.StructField(out, T.ArrayType(T.IntegerType()))]), ids)
+    return _with(docs, ranks, pattern, text, T.StructType([T.StructField(out, T.ArrayType(T.IntegerType()))]), ids, (text,))
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -310,7 +301,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids", o
                 found.append(None)
         return [pa.array(found, pa.binary())]
 
-    return _map(tokens, ranks, "", (out,), ids, T.StructType([T.StructField(out, T.BinaryType())]), back)
+    return _with(tokens, ranks, "", ids, T.StructType([T.StructField(out, T.BinaryType())]), back)
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -324,9 +315,9 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
         for t in column:
             ids = e.encode(t.as_py() or "")
             n.append(len(ids))
-            there.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            there.append(hashlib.sha256(" ".join([e.vocabulary.names[i] for i in ids]).encode()).hexdigest())
             back.append(hashlib.sha256(e.vocabulary.decode(ids)).hexdigest())
         return [pa.array(n, pa.int64()), pa.array(there, pa.string()), pa.array(back, pa.string())]
 
     added = T.StructType().add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return _map(docs.select("doc_id", "text"), ranks, pattern, ("text",), "text", added, both)
+    return _with(docs.select("doc_id", "text"), ranks, pattern, "text", added, both, ("text",))

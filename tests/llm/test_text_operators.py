@@ -27,20 +27,40 @@ def doc(i, text, source="a"):
 
 def test_lines_on_many_pages_of_a_host_go(spark):
     rows = [doc(i, f"Menu\nown line {i}\n\n  Menu \n", "big") for i in range(20)] + [doc(100 + i, f"Menu\nother {i}", "small") for i in range(3)] + [doc(200, None, None), doc(None, "Menu\nx", "big")]
-    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(docs(spark, rows), ratio=0.5, min_pages=5).collect()}
+    got = {r.doc_id: r for r in line_dedup.drop_boilerplate(docs(spark, rows), ratio=0.5, prior=2).collect()}
     assert got[3].text == "own line 3\n\n" and got[3]._n_lines == 3 and got[3]._n_dropped == 2
-    assert got[101].text == "Menu\nother 1" and got[101]._n_dropped == 0  # its own host has too few pages
+    assert got[101].text == "other 1" and got[101]._n_dropped == 1
     assert got[200].text is None and got[200]._n_lines == 0
     assert got[None].text == "x"
 
 
 def test_line_dedup_of_repeated_rows_and_empty_tables(spark):
     rows = [doc(1, "A\nB")] * 6
-    got = line_dedup.drop_boilerplate(docs(spark, rows), ratio=0.5, min_pages=5).collect()
+    got = line_dedup.drop_boilerplate(docs(spark, rows), ratio=0.5, prior=4).collect()
     assert [r.text for r in got] == [""] * 6
     assert line_dedup.drop_boilerplate(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_equals_brute_force_at_any_size_of_a_host(spark):
+    rnd = random.Random(4)
+    rows = []
+    for host, pages in (("one", 1), ("two", 2), ("nine", 9), ("ten", 10), ("many", 300), (None, 40)):
+        for i in range(pages):
+            lines = [rnd.choice(["Menu", " Menu\t", "", "é |", f"own {host} {i} {rnd.random()}", rnd.choice("abcdefghijklmnopqrstuvwxyz") * 3]) for _ in range(rnd.randint(0, 12))]
+            rows.append(doc(len(rows), "\n".join(lines), host))
+    rows += [doc(9000, "long line " * 20_000 + "\nMenu\n" + "\n".join(f"{i}" for i in range(3000)), "many"), doc(9001, None, "many")]
+    space = " \t\n\x0b\x0c\r"
+    pages, on = {}, {}
+    for _, t, _, host, _ in rows:
+        pages[host] = pages.get(host, 0) + 1
+        for x in {x.strip(space) for x in (t or "").split("\n")} - {""}:
+            on[host, x] = on.get((host, x), 0) + 1
+    bad = lambda host, x: bool(x.strip(space)) and on[host, x.strip(space)] > (pages[host] + 30) * 0.05
+    want = {i: None if t is None else "\n".join(x for x in t.split("\n") if not bad(host, x)) for i, t, _, host, _ in rows}
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(docs(spark, rows)).collect()}
+    assert got == want and sum(got[i] != t for i, t, *_ in rows) > 100
+
+
 # -- licences
 
 
@@ -132,32 +152,59 @@ def vocab():
 
 
 def test_every_token_encodes_to_itself(vocab):
-    ranks, _ = vocab
-    assert all(bpe.merge_all(k, ranks) == [k] for k in ranks)
+    table = bpe.Vocabulary(vocab[0])
+    assert all(table.merge_all(k) == [r] == table.match(k) for k, r in vocab[0].items())
+
+
+def library(vocab):
+    return tiktoken.Encoding("ref", pat_str=vocab[1], mergeable_ranks=vocab[0], special_tokens={})
 
 
-def test_encoding_equals_the_library(vocab):
-    ranks, pattern = vocab
-    ref = tiktoken.Encoding("ref", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    small, whole, rnd = bpe.Encoder(ranks, pattern, 8), bpe.Encoder(ranks, pattern), random.Random(5)
-    for _ in range(800):
-        letters = rnd.choice(["ab", "a", "a b\n", "aé ", "th e\t\n '1", "日本 a", "x0 .!'s", "  a ", " \n", "<|endoftext|> "])
-        text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 300)))
-        assert small.encode(text) == whole.encode(text) == ref.encode_ordinary(text), text
-    for text in ("a" * 9000, "".join(rnd.choice("abcdefgh") for _ in range(9000))):
-        assert small.encode(text) == ref.encode_ordinary(text)
+@pytest.mark.parametrize("leaf", [7, 48, bpe.TEXT_LEAF])
+def test_encoding_equals_the_library(vocab, monkeypatch, leaf):
+    monkeypatch.setattr(bpe, "TEXT_LEAF", leaf)
+    ref, rnd = library(vocab), random.Random(5)
+    encoder = bpe.Encoder(bpe.Vocabulary(vocab[0]), vocab[1], memo=500)
+    for _ in range(700):
+        letters = rnd.choice(["ab", "a", "a b\n", "aé ", "th e\t\n '1", "日本 a", "x0 .!'s", "  a ", " \n", "<|endoftext|> ", "'lvres dmt", "' ", " \xa0a", "the of and 12 "])
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 400)))
+        before = encoder.joins
+        assert encoder.encode(text) == ref.encode_ordinary(text), text
+        # the result comes up the tree: a join for every leaf but the first
+        assert encoder.joins - before == max(0, -(-len(text) // bpe.TEXT_LEAF) - 1)
+    for text in ("a" * 9000, "".join(rnd.choice("abcdefgh") for _ in range(9000)), " " * 5000 + "x", "'l" * 3000, "日本" * 3000, "!" * 3000 + " !" * 50):
+        assert encoder.encode(text) == ref.encode_ordinary(text)
+
+
+def test_joins_of_tokens_equal_encoding_the_whole(vocab):
+    table, rnd = bpe.Vocabulary(vocab[0]), random.Random(6)
+    for _ in range(1000):
+        data = bytes(rnd.choice(rnd.choice([b"ab", b"the and", bytes(range(256))])) for _ in range(rnd.randint(0, 600)))
+        cut = rnd.randint(0, len(data))
+        assert table.join(table.merge_all(data[:cut]), table.merge_all(data[cut:])) == table.merge_all(data)
+        if len(data) > 1:
+            singles = [table.single[x] for x in data]
+            assert table.merge_long(singles) == table.merge_all(data)
 
 
 def test_round_trip_and_digests(spark, vocab):
     texts = ["", None, "Hello  world\n\n", "naïve café " * 3000, "日本語<|endoftext|>", "x" * 20000]
-    ref = tiktoken.Encoding("ref", pat_str=vocab[1], mergeable_ranks=vocab[0], special_tokens={})
-    got = {r.doc_id: r for r in bpe.digests(docs(spark, [doc(i, t) for i, t in enumerate(texts)]), *vocab).collect()}
-    for i, t in enumerate(texts):
+    ref = library(vocab)
+    rows = [doc(i, t) for i, t in enumerate(texts)] + [doc(2, texts[2]), doc(None, "a null id"), doc(2**63 - 1, "b")]
+    d = docs(spark, rows).withColumn("n_tokens", F.lit("clash")).withColumn("token_ids", F.lit("clash"))
+    got = sorted((tuple(r) for r in bpe.digests(d, *vocab).collect()), key=str)
+    want = []
+    for i, t, *_ in rows:
         ids = ref.encode_ordinary(t or "")
-        assert got[i].n_tokens == len(ids)
-        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
-        assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want, key=str)
     assert bpe.digests(docs(spark, []), *vocab).count() == 0
+    there = bpe.encode(d.withColumn("decoded", F.lit("clash")), *vocab)
+    assert there.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "decoded", "token_ids"]
+    back = {r.doc_id: bytes(r.decoded).decode() for r in bpe.decode(there, vocab[0]).collect()}
+    assert back == {i: t or "" for i, t, *_ in rows}
+    odd = spark.createDataFrame([(1, None), (2, [64, None]), (3, [-1]), (4, [10**9]), (5, [])], "i int, token_ids array<int>")
+    assert {r.i: r.decoded for r in bpe.decode(odd, vocab[0]).collect()} == {1: b"", 2: None, 3: None, 4: None, 5: b""}
 
 
 # -- mixing

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
 import pandas as pd
@@ -91,11 +92,14 @@ def compact_ranges(rows: DataFrame, key: Sequence[str], n: str) -> DataFrame:
 def longest_rising(values: Sequence[float]) -> list[int]:
     """Places of the longest non-decreasing subsequence; of equals the one whose places come first, read from its start."""
     n = len(values)
-    best = [1] * n  # longest that starts here
+    best = [0] * n  # longest that starts here
+    starts: list[float] = []  # of a rise of k + 1 the greatest start so far, negated, so that the list rises
     for i in range(n - 1, -1, -1):
-        best[i] = 1 + max((best[j] for j in range(i + 1, n) if values[j] >= values[i]), default=0)
+        k = bisect_right(starts, -values[i])
+        starts[k : k + 1] = [-values[i]]
+        best[i] = k + 1
     out: list[int] = []
-    need, low = max(best, default=0), None
+    need, low = len(starts), None
     for i in range(n):
         if need and best[i] == need and (low is None or values[i] >= low):
             out.append(i)

@@ -36,18 +36,19 @@ def mark_running_lines(lines: DataFrame, keys: DataFrame, key: Column, group: Se
     return lines.join(k, on, "left").withColumn("header_footer", F.coalesce("_hit", F.lit(False))).drop("_hit", "_key", *[f"_{g}" for g in group])
 
 
-def neighbour_repeats(lines: DataFrame, key: Sequence[str], text: Column, page: str, top: str, tolerance: float = 0.01, reach: int = 2) -> DataFrame:
+def neighbour_repeats(lines: DataFrame, key: Sequence[str], text: Column, page: str, line: str, top: str, tolerance: float = 0.01, reach: int = 2) -> DataFrame:
     """lines with repeats: how many lines of equal blurred text stand at the same height on pages up to `reach` away.
 
-    Pages within reach meet by equality: a line is listed under each page it may be seen from.
+    A line is known by its key, page and line. Pages within reach meet by equality: a line is listed under each page it may be seen from.
     """
-    base = lines.withColumn("_t", text).withColumn("_id", F.monotonically_increasing_id())
+    base = lines.withColumn("_t", text)
+    own = base.select(*key, page, line, "_t", F.col(top).alias("_y"))
     near = base.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("_t").alias("_t2"), F.col(page).alias("_p2"), F.col(top).alias("_y2"), F.explode(F.sequence(F.col(page) - reach, F.col(page) + reach)).alias("_seen"))
-    on = (F.col("_t") == F.col("_t2")) & (F.col(page) == F.col("_seen")) & (F.col(page) != F.col("_p2")) & (F.abs(F.col(top) - F.col("_y2")) <= tolerance)
+    on = (F.col("_t") == F.col("_t2")) & (F.col(page) == F.col("_seen")) & (F.col(page) != F.col("_p2")) & (F.abs(F.col("_y") - F.col("_y2")) <= tolerance)
     for k in key:
         on = on & (F.col(k) == F.col(f"_{k}"))
-    hits = base.join(near, on).groupBy(F.col("_id").alias("_h")).agg(F.count(F.lit(1)).alias("repeats"))
-    return base.join(hits, F.col("_id") == F.col("_h"), "left").withColumn("repeats", F.coalesce("repeats", F.lit(0))).drop("_t", "_id", "_h")
+    hits = own.join(near, on).groupBy(*key, page, line).agg(F.count(F.lit(1)).alias("repeats"))
+    return lines.join(hits, [*key, page, line], "left").withColumn("repeats", F.coalesce("repeats", F.lit(0)))
 
 
 def weighted_mode(rows: DataFrame, key: Sequence[str], value: Column, weight: Column, order: Column) -> DataFrame:

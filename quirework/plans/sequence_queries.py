@@ -107,7 +107,13 @@ def anchored_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.anchored_clusters(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", 4.0)
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS placed, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS i FROM orders),
+f AS (SELECT o_custkey, i, o_totalprice AS v, [i] AS places FROM o
+  UNION ALL SELECT o.o_custkey, o.i, o.o_totalprice, list_append(f.places, o.i) FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.i > f.i AND o.o_totalprice >= f.v),
+b AS (SELECT o_custkey, places FROM f QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY len(places) DESC, places) = 1)
+SELECT o.o_custkey, o_orderkey, placed, o_totalprice, list_contains(places, i) AS in_order FROM o JOIN b ON b.o_custkey = o.o_custkey
+""")
 def order_lis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer that break the rise of their prices in time."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("string").alias("placed"), "o_totalprice")

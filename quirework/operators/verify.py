@@ -268,3 +268,56 @@ def check_edges(regions: DataFrame, pictures: DataFrame) -> DataFrame:
 
     found = by_runs(j, ["book_id", "page"], ["id"], run, "book_id string, page int, id string, side string, code string, suggested double")
     return _out(found, F.col("code"), F.concat_ws(":", "id", "side"), F.col("page"))
+
+
+def _with_place(rows: DataFrame) -> DataFrame:
+    from quirework.operators.gate import ordered
+
+    return ordered(rows.withColumn("message", F.lit("")), list(CODES)).drop("message")
+
+
+def verify(
+    items: DataFrame,
+    regions: DataFrame,
+    sections: DataFrame,
+    lines: DataFrame | None = None,
+    zones: DataFrame | None = None,
+    bands: DataFrame | None = None,
+    contexts: DataFrame | None = None,
+    markers: DataFrame | None = None,
+    answers: DataFrame | None = None,
+    runs: DataFrame | None = None,
+    pictures: DataFrame | None = None,
+    codes: tuple[str, ...] = tuple(CODES),
+) -> DataFrame:
+    """All findings on the books of items, (book_id, code, severity, ref, page, place): every check whose tables are there, in order.
+
+    items(book_id, id, section, label, page, left, top, has_answer, authority, kind[, context_key]); regions(book_id, page, id, unit,
+    role, ord, rect); sections(book_id, label, page, end_page); lines(book_id, page, line_idx, text, rect, header_footer); the others
+    as their checks take them. Each check is a plan of its own over the same tables; findings are joined by union, each once, and
+    sorted within a book by severity, code, page and ref.
+    """
+    parts = [check_places(regions), check_sequences(items, sections), check_continuations(regions), check_limits(regions), check_strays(items)]
+    if "context_key" in items.columns:
+        parts.append(check_neighbour_contexts(items))
+    if lines is not None:
+        texts = region_texts(lines, regions)
+        parts += [check_text(texts, items), check_inside(texts, items), check_spans(lines, regions), check_open_ends(lines, regions)]
+        if zones is not None:
+            parts += [check_coverage(lines, regions, zones), check_inline(lines, regions, zones)]
+        if bands is not None:
+            parts.append(check_answers(lines, regions, bands))
+    if contexts is not None:
+        parts.append(check_context(contexts, items))
+        if {"page", "top"} <= set(contexts.columns):
+            parts.append(check_nearest_context(contexts, items))
+    if markers is not None and answers is not None:
+        parts.append(check_key(answers, markers))
+    if runs is not None:
+        parts.append(check_runs(runs))
+    if pictures is not None:
+        parts.append(check_edges(regions, pictures))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return _with_place(out.filter(F.col("code").isin(*codes)).distinct())

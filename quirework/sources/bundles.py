@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quirework.sources.documents import canonical
 
@@ -128,7 +129,7 @@ def check_bundle(data: bytes) -> list[tuple[int, str]]:
     return found
 
 
-def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+def read_bundles(spark: SparkSession, path: str, limit: int = ARCHIVE_BYTES) -> DataFrame:
     """(path, ok, first_step, codes, frames, outline) of every archive below path; an archive is one task's and bounded by its limits."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,4 +142,8 @@ def read_bundles(spark: SparkSession, path: str) -> DataFrame:
                 rows.append((name, not found, found[0][0] if found else None, [c for _, c in found], *text))
             yield pd.DataFrame(rows, columns=["path", "ok", "first_step", "codes", "frames", "outline"]).astype({"first_step": "Int32"})
 
-    return spark.read.format("binaryFile").load(path).filter(f"length <= {ARCHIVE_BYTES}").select("path", "content").mapInPandas(scan, "path string, ok boolean, first_step int, codes array<string>, frames string, outline string")
+    kind = "path string, ok boolean, first_step int, codes array<string>, frames string, outline string"
+    files = spark.read.format("binaryFile").load(path)
+    # what is too large is told without being read
+    large = files.filter(f"length > {limit}").select("path", F.lit(False).alias("ok"), F.lit(1).alias("first_step"), F.array(F.lit("archive-too-large")).alias("codes"), F.lit(None).cast("string").alias("frames"), F.lit(None).cast("string").alias("outline"))
+    return files.filter(f"length <= {limit}").select("path", "content").mapInPandas(scan, kind).unionByName(large)

@@ -32,6 +32,7 @@ def test_bundles(spark, tmp_path):
     (tmp_path / "bad.zip").write_bytes(data[:50])
     got = {r.path.rsplit("/", 1)[1]: (r.ok, r.first_step) for r in bundles.read_bundles(spark, str(tmp_path)).collect()}
     assert got == {"good.zip": (True, None), "bad.zip": (False, 1)}
+    assert {r.path.rsplit("/", 1)[1]: r.codes for r in bundles.read_bundles(spark, str(tmp_path), 100).filter("NOT ok").collect()} == {"good.zip": ["archive-too-large"], "bad.zip": ["archive-unreadable"]}
 
 
 def test_projects_and_lists(spark, tmp_path):

@@ -91,6 +91,16 @@ def test_licence_notices_within_lines_and_longer_texts(spark):
     assert got[5] == got[8] == [] and got[6] == [("MIT", 1.0)]  # a notice alone on its line is one hit
 
 
+def test_whole_licences_and_names(spark):
+    by = {}
+    for name, text in license_scan.TEMPLATES:
+        by.setdefault(name, []).append(text)
+    isc, bsd = "\n".join(by["ISC"][:2]).replace(" the ", "\nthe "), "\n".join(f"{i}. {x}" for i, x in enumerate(by["BSD-2-Clause"][:2]))
+    rows = [doc(1, isc), doc(2, bsd), doc(3, "// SPDX-License-Identifier: MIT"), doc(4, "One line that says it is licensed under the MIT License, as files are, and goes on with other words after it for long."), doc(5, ("the software and of the work in the " * 20_000) + by["MIT"][-2]), doc(6, "of the and or the in the any purpose with")]
+    got = {r.doc_id: sorted({h.license for h in r._hits}) for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert got == {1: ["ISC"], 2: ["BSD-2-Clause"], 3: ["MIT"], 4: ["MIT"], 5: ["MIT"], 6: []}
+
+
 # -- quality rules
 
 
@@ -182,6 +192,8 @@ def test_joins_of_tokens_equal_encoding_the_whole(vocab):
         data = bytes(rnd.choice(rnd.choice([b"ab", b"the and", bytes(range(256))])) for _ in range(rnd.randint(0, 600)))
         cut = rnd.randint(0, len(data))
         assert table.join(table.merge_all(data[:cut]), table.merge_all(data[cut:])) == table.merge_all(data)
+        parts = [data[i : i + 40] for i in range(0, len(data), 40)]
+        assert table.merge_many(parts) == [table.merge_all(x) for x in parts]
         if len(data) > 1:
             singles = [table.single[x] for x in data]
             assert table.merge_long(singles) == table.merge_all(data)

@@ -225,34 +225,41 @@ class Picks:
         return [left[k] for k in stride(len(left), self.most - len(self.reasons))] if left and len(self.reasons) < self.most else []
 
 
-def _ends(items: list[dict], key: str) -> dict:
-    """The first and the last item of each value of key, in order of appearance."""
-    ends: dict = {}
-    for x in items:
-        if x[key] is not None:
-            ends.setdefault(x[key], [x, x])[1] = x
-    return ends
-
-
-def review_sample(items: list[dict], most: int = 40) -> list[tuple[str, list[str]]]:
-    """(id, reasons) of at most `most` items in reading order: every layout kind's first, each chapter's and each section's first
-    and last (an even stride of sections where there is no room for all), then an even stride over the rest."""
+def review_picks(ends: dict[str, list[tuple[object, int, int]]], total: int, most: int = 40) -> list[tuple[int, list[str]]]:
+    """(place, reasons) of at most `most` of `total` items in reading order, places from 0: every layout kind's first, each
+    chapter's and each section's first and last (an even stride of sections where there is no room for all), then an even stride
+    over the rest. ends: by layout, chapter and section, each value with its first and last place, in order of the first."""
     picks = Picks(most)
-    for name, (a, _) in _ends(items, "layout").items():
-        picks.take(a, f"layout {name}: first")
+    for name, a, _ in ends["layout"]:
+        picks.take({"id": a}, f"layout {name}: first")
     for key in ("chapter", "section"):
-        ends = list(_ends(items, key).items())
-        if key == "section":
-            ends = [ends[k] for k in stride(len(ends), max(0, most - len(picks.reasons)) // 2)] if ends else []
-        for name, (a, b) in ends:
-            picks.take(a, f"{key} {name}: first")
-            if b is not a:
-                picks.take(b, f"{key} {name}: last")
-    for x in picks.rest(items):
-        picks.take(x, "stride")
+        found = ends[key]
+        if key == "section" and found:
+            found = [found[k] for k in stride(len(found), max(0, most - len(picks.reasons)) // 2)]
+        for name, a, b in found:
+            picks.take({"id": a}, f"{key} {name}: first")
+            if b != a:
+                picks.take({"id": b}, f"{key} {name}: last")
+    taken, room = sorted(picks.reasons), most - len(picks.reasons)
+    for place in stride(total - len(taken), room) if room > 0 else []:
+        for t in taken:
+            place += t <= place
+        picks.take({"id": place}, "stride")
     return list(picks.reasons.items())
 
 
+def review_sample(items: list[dict], most: int = 40) -> list[tuple[str, list[str]]]:
+    """review_picks() of items(id, layout, chapter, section) in reading order, by id."""
+    ends: dict[str, list] = {}
+    for key in ("layout", "chapter", "section"):
+        seen: dict = {}
+        for i, x in enumerate(items):
+            if x[key] is not None:
+                seen.setdefault(x[key], [i, i])[1] = i
+        ends[key] = [(name, a, b) for name, (a, b) in seen.items()]
+    return [(items[i]["id"], why) for i, why in review_picks(ends, len(items), most)]
+
+
 def answer_sample(items: list[dict], sampled: list[tuple[str, list[str]]], most: int = 20) -> list[tuple[str, list[str]]]:
     """(id, reasons) of the answers to review among items(id, layout, chapter, answer_lines, answer_at), answer_at null without an answer.
 
@@ -281,15 +288,23 @@ def answer_sample(items: list[dict], sampled: list[tuple[str, list[str]]], most:
 def stratified_sample(items: DataFrame, order: Sequence[str], most: int = 40) -> DataFrame:
     """(book_id, id, place, first_reason, reasons) of each book's review sample.
 
-    Only candidates reach the group: the first and last of each layout, chapter and section, and `most` items at an even
-    stride of every `most` and more; the group's size follows the sections of a book, not its items.
+    Only the ends of layouts, chapters and sections reach the group, by their places, which are counted by ranges of the order:
+    the group's size follows the sections of a book, not its items, and no task meets a book as a whole.
     """
-    w = lambda *k: Window.partitionBy("book_id", *k).orderBy(*order)
-    d = items.withColumn("_n", F.row_number().over(w()))
+    from quirework.operators.sequences import ranked
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows = review_sample(g.astype(object).where(g.notna(), None).to_dict("records"), most)
-        return pd.DataFrame([(g["book_id"].iloc[0], i, k + 1, why[0], "; ".join(why)) for k, (i, why) in enumerate(rows)], columns=["book_id", "id", "place", "first_reason", "reasons"], dtype=object)
+    d = ranked(items, ["book_id"], order, "_n").withColumn("_n", F.col("_n") - 1)
+    parts = [d.groupBy("book_id").agg(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("value"), F.count(F.lit(1)).alias("a"), F.lit(0).cast("long").alias("b"))]
+    for key in ("layout", "chapter", "section"):
+        parts.append(d.filter(F.col(key).isNotNull()).groupBy("book_id", F.lit(key).alias("kind"), F.col(key).cast("string").alias("value")).agg(F.min("_n").alias("a"), F.max("_n").alias("b")))
 
-    schema = T.StructType([T.StructField("book_id", T.StringType()), items.schema["id"], T.StructField("place", T.IntegerType()), T.StructField("first_reason", T.StringType()), T.StructField("reasons", T.StringType())])
-    return by_runs(d.select("book_id", "id", "layout", "chapter", "section", "_n"), ["book_id"], ["_n"], run, schema)
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        rows = [r for r in zip(g["kind"], g["value"], g["a"].tolist(), g["b"].tolist(), strict=True)]
+        ends = {key: [r[1:] for r in rows if r[0] == key] for key in ("layout", "chapter", "section")}
+        found = review_picks(ends, next(r[2] for r in rows if r[0] == "total"), most)
+        return pd.DataFrame([(g["book_id"].iloc[0], n, k + 1, why[0], "; ".join(why)) for k, (n, why) in enumerate(found)], columns=["book_id", "_n", "place", "first_reason", "reasons"], dtype=object)
+
+    book = items.schema["book_id"]
+    schema = T.StructType([book, T.StructField("_n", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("first_reason", T.StringType()), T.StructField("reasons", T.StringType())])
+    picked = by_runs(union(parts), ["book_id"], ["a", "kind"], run, schema)
+    return d.select("book_id", "_n", "id").join(picked, ["book_id", "_n"]).select("book_id", "id", "place", "first_reason", "reasons")

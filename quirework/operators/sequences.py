@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from quirework import constants as C
 from quirework.functions.grouped import by_runs
+from quirework.session import cut
 
 
 def duplicates(rows: DataFrame, section: str, n: str) -> DataFrame:
@@ -130,11 +131,28 @@ def section_report(rows: DataFrame, section: str, n: str, answered: Column) -> D
     return g.withColumn("severity", sev)
 
 
+def ranked(rows: DataFrame, key: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """rows with name, from 1: a row's place in order among those of its key, which have to differ in order.
+
+    The rows are sorted by ranges and their places counted on from the ranges before, so that no task meets a key as a whole.
+    The sort is written to the shared folder; what is counted is a row for each key of a range.
+    """
+    at = cut(rows.orderBy(*key, *order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    parts = at.groupBy(*key, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_part").alias("_p"), "_first", before.alias("_before"))
+    on = F.col("_part") == F.col("_p")
+    for i, k in enumerate(key):
+        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    found = at.join(offsets, on).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1)
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], name)
+
+
 def numbering(rows: DataFrame, kind: str, unit: Column, order: Sequence[str], letter: dict[str, str] | None = None) -> DataFrame:
     """rows with display, part, part_count: units of a kind are numbered by their first member, parts within a unit by order."""
     w = Window.partitionBy(kind, "_unit").orderBy(*order)
     d = rows.withColumn("_unit", unit).withColumn("part", F.row_number().over(w)).withColumn("part_count", F.count(F.lit(1)).over(Window.partitionBy(kind, "_unit")).cast("int"))
-    firsts = d.filter("part = 1").withColumn("number", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).select(F.col(kind).alias("_k"), F.col("_unit").alias("_u"), "number")
+    firsts = ranked(d.filter("part = 1"), [kind], order, "number").withColumn("number", F.col("number").cast("int")).select(F.col(kind).alias("_k"), F.col("_unit").alias("_u"), "number")
     out = d.join(firsts, F.col(kind).eqNullSafe(F.col("_k")) & F.col("_unit").eqNullSafe(F.col("_u"))).drop("_k", "_u")
     head = F.upper(F.substring(F.col(kind), 1, 1)) if letter is None else F.create_map(*[F.lit(x) for kv in letter.items() for x in kv])[F.col(kind)]
     base = F.concat(head, F.col("number").cast("string"))
@@ -170,8 +188,11 @@ def clamp_depths(outline: DataFrame, key: Sequence[str], idx: str, depth: str) -
 
 def even_stride(rows: DataFrame, key: Sequence[str], order: Sequence[str], count: int) -> DataFrame:
     """The rows at floor(k * m / count) of their group's m rows, k from 0, and the last; all where there are no more than count."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    d = rows.withColumn("_i", F.row_number().over(w) - 1).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy(*key)))
+    sizes = rows.groupBy(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(key)]).agg(F.count(F.lit(1)).alias("_m"))
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    d = ranked(rows, key, order, "_i").withColumn("_i", F.col("_i") - 1).join(sizes, same).drop(*[f"_g{i}" for i in range(len(key))])
     # i is taken if a whole k below count - 1 has floor(k * m / count) = i
     k = F.ceil(F.col("_i") * count / F.col("_m"))
     taken = (F.col("_m") <= count) | ((k < count - 1) & (F.floor(k * F.col("_m") / count) == F.col("_i"))) | (F.col("_i") == F.col("_m") - 1)

@@ -66,11 +66,25 @@ def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.canonical_hash(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderkey"], ["o_orderstatus", "o_orderkey", "o_orderpriority"])
 
 
-@query()
+@query("""
+WITH i AS (SELECT c_mktsegment AS book_id, c_custkey AS id, CAST(floor(c_acctbal / 5000) AS INTEGER) AS layout, c_nationkey % 5 AS chapter, CAST(floor(c_acctbal / 1000) AS INTEGER) AS section, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS n FROM customer),
+e AS (SELECT book_id, 1 AS step, min(n) AS first, 0 AS half, min(n) AS n, 'layout ' || layout || ': first' AS why FROM i GROUP BY book_id, layout
+  UNION ALL SELECT book_id, 2, min(n), 0, min(n), 'chapter ' || chapter || ': first' FROM i GROUP BY book_id, chapter UNION ALL SELECT book_id, 2, min(n), 1, max(n), 'chapter ' || chapter || ': last' FROM i GROUP BY book_id, chapter HAVING max(n) > min(n)),
+p AS (SELECT book_id, (40 - least(40, count(DISTINCT n))) // 2 AS c FROM e GROUP BY 1),
+s AS (SELECT book_id, section, min(n) AS a, max(n) AS b, row_number() OVER (PARTITION BY book_id ORDER BY min(n)) - 1 AS k, count(*) OVER (PARTITION BY book_id) AS m FROM i GROUP BY book_id, section),
+t AS (SELECT s.* FROM s JOIN p USING (book_id) WHERE m <= c OR (c > 0 AND k = m - 1) OR (c > 1 AND list_contains(list_transform(range(0, c - 1), lambda j: j * m // c), k))),
+v AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY step, first, half) AS pos FROM (SELECT * FROM e UNION ALL SELECT book_id, 3, a, 0, a, 'section ' || section || ': first' FROM t UNION ALL SELECT book_id, 3, a, 1, b, 'section ' || section || ': last' FROM t WHERE b > a)),
+f AS (SELECT book_id, n, row_number() OVER (PARTITION BY book_id ORDER BY min(pos)) AS place, arg_min(why, pos) AS first_reason, string_agg(why, '; ' ORDER BY pos) AS reasons FROM v GROUP BY book_id, n),
+g AS (SELECT * FROM f WHERE place <= 40), r AS (SELECT book_id, count(*) AS taken, 40 - count(*) AS r FROM g GROUP BY 1),
+l AS (SELECT i.book_id, i.n, taken, r, row_number() OVER (PARTITION BY i.book_id ORDER BY i.n) - 1 AS q, count(*) OVER (PARTITION BY i.book_id) AS m FROM i JOIN r ON r.book_id = i.book_id WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.book_id = i.book_id AND g.n = i.n)),
+o AS (SELECT * FROM l WHERE m <= r OR (r > 0 AND q = m - 1) OR (r > 1 AND list_contains(list_transform(range(0, r - 1), lambda j: j * m // r), q))),
+w AS (SELECT book_id, n, place, first_reason, reasons FROM g UNION ALL SELECT book_id, n, taken + row_number() OVER (PARTITION BY book_id ORDER BY n), 'stride', 'stride' FROM o)
+SELECT w.book_id, i.id, CAST(w.place AS INTEGER) AS place, first_reason, reasons FROM w JOIN i ON i.book_id = w.book_id AND i.n = w.n
+""")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A review sample of each segment's customers: nations are chapters, balances' thousands are sections."""
     c = table(spark, sf_dir, "customer")
-    items = c.select(F.col("c_mktsegment").alias("book_id"), F.col("c_custkey").alias("id"), (F.floor(F.col("c_acctbal") / 5000)).cast("int").alias("layout"), F.col("c_nationkey").alias("chapter"), F.floor(F.col("c_acctbal") / 1000).cast("int").alias("section"), "c_custkey")
+    items = c.select(F.col("c_mktsegment").alias("book_id"), F.col("c_custkey").alias("id"), (F.floor(F.col("c_acctbal") / 5000)).cast("int").alias("layout"), (F.col("c_nationkey") % 5).alias("chapter"), F.floor(F.col("c_acctbal") / 1000).cast("int").alias("section"), "c_custkey")
     return gate.stratified_sample(items, ["c_custkey"])
 
 

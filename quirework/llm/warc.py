@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -18,8 +19,9 @@ from quirework.session import bound_batches, store
 #: What ends a record, and so what the text writer puts between its lines.
 END = "\r\n\r\n"
 MAGIC = b"WARC/1.1\r\n"
-#: Rows of an archive, at most.
-ROWS_PER_FILE = 1000
+_MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
+#: Rows of an archive, at most, and its bytes, about; a record of more has an archive of its own.
+ROWS_PER_FILE, ARCHIVE_BYTES = 1000, 256 << 20
 _FIELD = re.compile(rb"^([!-9;-~]+):(.*)\r\n", re.M)
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -60,12 +62,13 @@ def record_id(col: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-"), cut(13, 4), F.lit("-"), cut(17, 4), F.lit("-"), cut(21, 12), F.lit(">"))
 
 
-def write(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", rows_per_file: int = ROWS_PER_FILE, **how) -> None:
+def write(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", rows_per_file: int = ROWS_PER_FILE, archive_bytes: int = ARCHIVE_BYTES, **how) -> None:
     """Archives of a record per row of pages below path, a folder that any of Spark's file systems may hold.
 
     A record is a line of text that the record end separates from the next, so that Spark's writer and its committer make the
     archives: a lost task leaves nothing behind. A revisit has its headers alone. Line ends and control characters of a url
-    become blanks; a null url has no target.
+    become blanks; a null url has no target. An archive is read as one value, so that its bytes are bounded: records of a like
+    size are written together, as many to an archive as may be of the greatest of them. Empty table: an empty folder.
     """
     r = plan_records(pages, **how)
     is_revisit = F.col("_type") == "revisit"
@@ -88,26 +91,33 @@ def write(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", rows_
         F.octet_length("_block").cast("string"),
         F.lit(END),
     )
-    lines = r.withColumn("_block", block).select(F.concat(header, F.col("_block")).alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", rows_per_file).text(path)
+    size = F.when(is_revisit, 0).otherwise(F.col("_bytes")) + F.coalesce(F.octet_length("_url"), F.lit(0)) + 1024
+    url, payload = how.get("url", "url"), how.get("payload", "html")
+    greatest = pages.agg(F.max(F.coalesce(F.octet_length(F.col(payload).cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col(url)), F.lit(0)))).first()[0] or 0
+    low, rows = -1, rows_per_file
+    while low < greatest + 1024:
+        # the last class, of one record an archive, has no bound
+        high = archive_bytes // rows if rows > 1 else greatest + 1024
+        lines = r.filter((size > low) & (size <= high)).withColumn("_block", block).select(F.concat(header, F.col("_block")).alias("value"))
+        lines.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", rows).text(path)
+        low, rows = high, max(1, rows // 32)
 
 
 def candidates(data: bytes) -> list[tuple[int, int, dict[str, str], bytes]]:
     """(offset, successor, fields, block) of every place where a record could start, true or not."""
     out = []
-    at = data.find(MAGIC)
-    while at >= 0:
+    for magic in _MAGIC.finditer(data):
+        at = magic.start()
         # a record starts its file or follows the end of another; so no two headers share bytes, however long they are
         end = data.find(b"\r\n\r\n", at) if at == 0 or data[max(0, at - 4) : at] == b"\r\n\r\n" else -1
         if end >= 0:
-            fields = {k.decode().lower(): v.strip(b" \t").decode("utf-8", "replace") for k, v in _FIELD.findall(data, at + len(MAGIC), end + 2)}
+            fields = {k.decode().lower(): v.strip(b" \t").decode("utf-8", "replace") for k, v in _FIELD.findall(data, magic.end(), end + 2)}
             size = fields.get("content-length", "")
             if size.isascii() and size.isdigit():
                 start = end + 4
                 after = start + int(size)
                 if data[after : after + 4] == b"\r\n\r\n":
                     out.append((at, after + 4, fields, data[start:after]))
-        at = data.find(MAGIC, at + 1)
     return out
 
 
@@ -149,7 +159,7 @@ RECORD = "file string, offset long, successor long, record_type string, record_i
 def read_candidates(spark: SparkSession, path: str, whole_chains: bool = False) -> DataFrame:
     """A row of RECORD for every place of the archives below path where a record could start; an archive is read by one task.
 
-    With whole_chains it fails at an archive whose chain of records doesn't reach its end.
+    Archives of versions 1.0 and 1.1 are read, whole or as gzip members; places are those of the unpacked bytes. With whole_chains it fails at an archive whose chain of records doesn't reach its end.
     """
     bound_batches(spark)
     names = [x.split()[0] for x in RECORD.split(", ")]
@@ -158,7 +168,8 @@ def read_candidates(spark: SparkSession, path: str, whole_chains: bool = False)
         for b in batches:
             for name, data in zip(b["path"], b["content"], strict=True):
                 rows = []
-                found = candidates(data := bytes(data))
+                data = bytes(data)
+                found = candidates(data := gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
                 if whole_chains:
                     ends = np.array([x[1] for x in found], np.int64)
                     on = reachable(np.array([x[0] for x in found], np.int64), ends)
@@ -198,7 +209,7 @@ def read(spark: SparkSession, path: str, whole_chains: bool = False) -> DataFram
 def round_trip(pages: DataFrame, folder: str, **how) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of a record per row, and whether what was read is what was declared.
 
-    It fails if the records of an archive don't reach its end.
+    It fails if the records of an archive don't reach its end. Empty table: no rows.
     """
     path = f"{folder}/warc-{uuid.uuid4().hex}"
     write(pages, path, **how)

@@ -152,6 +152,27 @@ def test_archives_of_long_ids_and_urls(spark, tmp_path):
     assert [warc.whole_number(x) for x in (None, "", str(2**63), "1" * 20, "٣", "-7")] == [None] * 5 + [-7]
 
 
+def test_archives_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", f"{i} " * 10 ** (i % 5)) for i in range(60)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.round_trip(d, str(tmp_path), rows_per_file=40, archive_bytes=100_000).collect()
+    assert sorted((r.page_id, r.payload_bytes, r.intact) for r in got) == sorted((i, len(h), True) for i, _, h in rows)
+    sizes = [f.stat().st_size for f in tmp_path.glob("*/*.txt")]
+    # an archive beyond the bound holds one record alone
+    assert all(s <= 102_000 or f.read_bytes().count(b"WARC-Record-ID") == 1 for f in tmp_path.glob("*/*.txt") if (s := f.stat().st_size)) and len(sizes) > 5
+
+
+def test_archives_of_others(spark, tmp_path):
+    import gzip
+
+    record = lambda kind, body, version="1.0": f"WARC/{version}\r\nWARC-Type: {kind}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    http = "HTTP/1.1 200 OK\r\n\r\nbody"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record("warcinfo", "x: y")) + gzip.compress(record("response", http)))
+    (tmp_path / "b.warc").write_bytes(record("response", http, "1.1") + record("response", http + "WARC/1.0\r\n"))
+    got = sorted((r.file[-4:], r.record_type, r.payload_bytes) for r in warc.read(spark, str(tmp_path), whole_chains=True).collect())
+    assert got == [("c.gz", "response", 4), ("c.gz", "warcinfo", 4), ("warc", "response", 4), ("warc", "response", 14)]
+
+
 def test_a_broken_chain_fails(spark, tmp_path):
     warc.write(spark.createDataFrame([(i, "u", f"page {i}") for i in range(4)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "a"))
     file = next((tmp_path / "a").glob("*.txt"))

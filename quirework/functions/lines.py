@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from quirework import constants as C
 from quirework.functions.labels import item_start
 
-#: The words that open an instruction.
+#: Everyday imperatives that open an instruction, chosen for this library.
 VERBS = "find|solve|evaluate|simplify|determine|compute|calculate|show|prove|verify|explain|describe|sketch|graph|write|use|factor|expand|differentiate|integrate|estimate|express|give|state|list|identify|complete|decide|consider|let"
+INSTRUCTION = rf"^(?i:(?:in (?:exercises|problems|questions) \d)|(?:for (?:each|all|every one) of the following\b)|(?:the following (?:exercises|problems|questions)\b)|(?:(?:{VERBS})\b.*[.:]$))"
 CAPTION = r"^(?i:figure|fig\.|table|abbildung|abb\.|tabelle|figura|tableau)\s*\d"
 EQUATION_TAG = r"^\(\d{1,3}(?:\.\d{1,3})?\)$"
 HEADING = r"^(?i:chapter|section|part|appendix|kapitel|abschnitt|teil|chapitre|capítulo)\s+(?:\d+|[ivxlc]+)\b"
@@ -26,7 +27,7 @@ def in_band(rect: Column) -> Column:
 
 
 def is_instruction(line: Column) -> Column:
-    return line.rlike(rf"^(?i:(?:in (?:exercises|problems|questions) \d)|(?:(?:{VERBS})\b.*[.:]$))")
+    return line.rlike(INSTRUCTION)
 
 
 def is_page_reference(line: Column) -> Column:

@@ -15,7 +15,7 @@ PRINTED = """CASE p_partkey % 20
   WHEN 3 THEN concat('Exercise ', p_size, 'a ', p_name) WHEN 4 THEN concat(p_size, ') ', p_name) WHEN 5 THEN concat('§ ', p_size, ' ', p_name)
   WHEN 6 THEN concat('2.', p_size, ' ', upper(p_name)) WHEN 7 THEN concat(p_name, ' ..... ', p_partkey) WHEN 8 THEN concat('[', p_size, '] ', p_name)
   WHEN 9 THEN concat(upper(p_name), ' ', p_size) WHEN 10 THEN concat('Figure ', p_size, ' ', p_name) WHEN 11 THEN concat('(', p_size, '.', p_partkey % 7, ')')
-  WHEN 12 THEN concat('Find the ', p_name, '.') WHEN 13 THEN concat('In exercises ', p_size, ' to 60 show ', p_name) WHEN 14 THEN concat(p_size, ' ', p_name)
+  WHEN 12 THEN concat('Find the ', p_name, '.') WHEN 13 THEN CASE WHEN p_size % 2 = 0 THEN concat('In exercises ', p_size, ' to 60 show ', p_name) ELSE concat('For each of the following, name ', p_name) END WHEN 14 THEN concat(p_size, ' ', p_name)
   WHEN 15 THEN concat(p_name, ', 12, ', p_size) WHEN 16 THEN concat('(c) ', p_name) WHEN 17 THEN concat(p_size, '.5 ', p_name) WHEN 18 THEN concat(p_size, '') ELSE concat(p_size, '.  ', p_name) END"""
 _L = f"(SELECT p_partkey, p_size, p_name, {PRINTED} AS line FROM part)"
 
@@ -59,7 +59,7 @@ def census_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""
 SELECT p_partkey, regexp_matches(line, '(?:\.\s?){{3,}}\s*\d+$|,\s*\d{{1,4}}(?:\s*[-–]\s*\d{{1,4}})?$|^\d{{1,4}}$') AS page_reference,
   len(regexp_extract_all(line, '[A-Za-z]')) >= 3 AND len(regexp_extract_all(line, '[A-Z]')) * 5 >= len(regexp_extract_all(line, '[A-Za-z]')) * 4 AND regexp_matches(line, '^\d+\s|\s\d+$') AS printed_head,
-  regexp_matches(line, '^(?i:(?:in (?:exercises|problems|questions) \d)|(?:(?:{lines.VERBS})\b.*[.:]$))') AS instruction,
+  regexp_matches(line, '{lines.INSTRUCTION}') AS instruction,
   regexp_matches(line, '^(?i:figure|fig\.|table|abbildung|abb\.|tabelle|figura|tableau)\s*\d') AS caption, regexp_matches(line, '^\(\d{{1,3}}(?:\.\d{{1,3}})?\)$') AS equation_tag FROM {_L}
 """)
 def line_marks(spark: SparkSession, sf_dir: str) -> DataFrame:

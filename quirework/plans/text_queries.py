@@ -40,7 +40,6 @@ def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _T = "trim(line)"
-_VERBS = lines.VERBS
 
 
 @query(rf"""
@@ -50,7 +49,7 @@ WITH c AS (SELECT doc_id, CASE
   WHEN regexp_matches({_T}, '^(?i:chapter|section|part|appendix|kapitel|abschnitt|teil|chapitre|capítulo)\s+(?:\d+|[ivxlc]+)\b') THEN 'heading'
   WHEN regexp_matches({_T}, '^(?:\d{{1,4}}[a-z]?[.)](?:\D|$)|\((?:\d{{1,4}}[a-z]?|[a-z])\)|\d+\.\d+\.\d+(?:[^\d.]|$))') THEN 'item'
   WHEN regexp_matches({_T}, '^(?i:figure|fig\.|table|abbildung|abb\.|tabelle|figura|tableau)\s*\d') THEN 'caption'
-  WHEN regexp_matches({_T}, '^(?i:(?:in (?:exercises|problems|questions) \d)|(?:(?:{_VERBS})\b.*[.:]$))') THEN 'instruction'
+  WHEN regexp_matches({_T}, '{lines.INSTRUCTION}') THEN 'instruction'
   ELSE 'text' END AS kind FROM ({_LINES}))
 SELECT doc_id, kind, count(*) AS n FROM c GROUP BY ALL
 """)

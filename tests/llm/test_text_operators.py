@@ -263,6 +263,24 @@ def test_mix_takes_near_its_target_and_agrees_with_itself(spark):
 # -- classifier
 
 
+def test_scores_of_held_out_labels(spark):
+    import os
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    table = lambda n: spark.read.parquet(f"{folder}/{n}.parquet")
+    scored = quality_classifier.score(table("documents"), quality_classifier.fit(table("documents"), table("labels")))
+    held = scored.filter("held_out").join(table("labels").filter("quality IS NOT NULL"), "doc_id").collect()
+    assert len(held) > 500
+    for label in (0, 1):
+        mine = [r for r in held if r.quality == label]
+        assert sum(r.predicted == label for r in mine) > 0.97 * len(mine)
+    # the score is a dot product of the text's own features, whatever else its row holds
+    alone = quality_classifier.score(table("documents").withColumn("source", F.lit("other")).withColumn("lang", F.lit("xx")), quality_classifier.fit(table("documents"), table("labels")))
+    assert {r.doc_id: r.score for r in alone.collect()} == {r.doc_id: r.score for r in scored.collect()}
+
+
 def test_classifier_learns_and_scores_everything(spark):
     rnd = random.Random(2)
     good = lambda: " ".join(rnd.choice("alpha beta gamma delta house tree".split()) for _ in range(30)) + "."

@@ -97,6 +97,23 @@ def numbered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return census.verdicts(census.census(d, least=3))
 
 
+@query("""
+WITH r AS (SELECT l_suppkey, l_linestatus, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS i, count(*) OVER (PARTITION BY l_suppkey) AS m FROM lineitem),
+b AS (SELECT l_suppkey, i // 12 AS block, i % 12 + 1 AS n, l_linestatus FROM r WHERE i < m // 12 * 12), k AS (SELECT * FROM b WHERE block % 3 = 0 OR n <> 5 + block % 5)
+SELECT CAST(l_suppkey AS VARCHAR) AS book_id, CAST(min(n) AS INTEGER) AS first_n, CAST(max(n) AS INTEGER) AS last_n, CAST(count(*) AS INTEGER) AS n_items, 1 AS step, CAST(12 - count(*) AS INTEGER) AS missing, CAST(block * 5 AS INTEGER) AS page, avg(CASE WHEN l_linestatus = 'F' THEN 1.0 ELSE 0.0 END) AS coverage, 'run' AS verdict
+FROM k GROUP BY l_suppkey, block
+""")
+def stitched_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of twelve with a number missing in most: the pieces on both sides of a gap are stitched."""
+    li = table(spark, sf_dir, "lineitem")
+    i = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")) - 1
+    d = li.withColumn("i", i).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("l_suppkey"))).filter("i < floor(m / 12) * 12")
+    d = d.withColumn("block", F.floor(F.col("i") / 12).cast("int")).withColumn("n", (F.col("i") % 12 + 1).cast("int")).filter("block % 3 = 0 OR n <> 5 + block % 5")
+    labels_ = d.select(F.col("l_suppkey").cast("string").alias("book_id"), F.lit("dot").alias("family"), "n", (F.col("block") * 5).alias("page"), F.col("n").alias("ord"), F.lit(0.1).alias("left"), (F.col("l_linestatus") == "F").alias("covered"))
+    r = census.verdicts(census.census(labels_))
+    return r.select("book_id", "first_n", "last_n", "n_items", "step", "missing", F.col("first_page").alias("page"), "coverage", "verdict")
+
+
 _R = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 12 - 0.02 AS l, l_quantity / 50 - 0.004 AS t, l_discount * 12 + l_tax AS r, l_quantity / 50 + l_linenumber * 0.004 AS b FROM lineitem"
 
 

@@ -8,6 +8,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from quirework.functions.grouped import by_runs
 
@@ -189,6 +191,12 @@ def item_cells(text: str, most_step: int = 3) -> list[tuple[int, str]]:
     return [(n, text[at:end].strip()) for (at, n), end in zip(kept, ends, strict=True)]
 
 
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("text", T.StringType())])))
+def cells(text: pd.Series) -> pd.Series:
+    """item_cells() of a column of lines; null for null."""
+    return text.map(lambda t: None if t is None else [{"n": n, "text": x} for n, x in item_cells(t)])
+
+
 def ink_rows(ink: np.ndarray, below: float = 0.004) -> np.ndarray:
     """Which bands of a page's ink profile are white."""
     return np.asarray(ink, float) < below
@@ -227,4 +235,4 @@ def headings(lines: DataFrame, accept: float = 0.55) -> DataFrame:
     return found.withColumn("depth", F.when(numbered != "", F.size(F.split(numbered, r"\.")) - 1).otherwise(rank).cast("int")).drop("_gap")
 
 
-__all__ = ["LINES", "blocks", "boxes", "headings", "item_cells", "lines_of", "merge_headings", "nearest_white", "page_lines"]
+__all__ = ["LINES", "blocks", "boxes", "cells", "headings", "item_cells", "lines_of", "merge_headings", "nearest_white", "page_lines"]

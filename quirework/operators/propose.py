@@ -61,10 +61,11 @@ def item_frames(lines: DataFrame, starts: DataFrame, margin: float = 0.012, most
 
 def section_items(candidates: DataFrame, max_jump: int = 3) -> DataFrame:
     """candidates(book_id, section, n, suffix, page, top, left) that make a section's sequence; see select_sequence()."""
+    names = candidates.columns
 
     def run(g: pd.DataFrame) -> pd.DataFrame | None:
         kept = select_sequence(g.to_dict("records"), max_jump)
-        return pd.DataFrame(kept, dtype=object)[list(candidates.columns)] if kept else None
+        return pd.DataFrame(kept, dtype=object)[names] if kept else None
 
     return by_runs(candidates, ["book_id", "section"], ["page", "top", "left", "n", "suffix"], run, candidates.schema)
 

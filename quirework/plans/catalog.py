@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from quirework.plans import book_queries, gate_queries, geometry_queries, line_queries, page_queries, sequence_queries, text_queries, tree_queries  # noqa: E402, F401  they register themselves
+from quirework.plans import book_queries, gate_queries, geometry_queries, line_queries, page_queries, proposal_queries, sequence_queries, text_queries, tree_queries  # noqa: E402, F401  they register themselves

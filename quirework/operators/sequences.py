@@ -69,15 +69,17 @@ def anchored_clusters(rows: DataFrame, key: Sequence[str], by: str, tolerance: f
     """
     counted = rows.filter(F.col(by).isNotNull()).groupBy(*key, F.col(by).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     listed = counted.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_n").alias("n")))).alias("_l"))
-    kind = "array<struct<anchor:double,n:bigint>>"
+    kind = "struct<done:array<struct<anchor:double,n:bigint>>,anchor:double,n:bigint>"
+    none = F.array().cast("array<struct<anchor:double,n:bigint>>")
 
     def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        opens = (F.size(acc) == 0) | (x["v"] - last["anchor"] > tolerance)
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["anchor"].alias("anchor"), (last["n"] + x["n"]).alias("n"))))
-        return F.when(opens, F.concat(acc, F.array(F.struct(x["v"].alias("anchor"), x["n"].alias("n"))))).otherwise(grown).cast(kind)
+        closed = F.concat(acc["done"], F.array(F.struct(acc["anchor"].alias("anchor"), acc["n"].alias("n"))))
+        opened = F.struct(F.when(acc["n"] > 0, closed).otherwise(acc["done"]).alias("done"), x["v"].alias("anchor"), x["n"].alias("n"))
+        # only a new cluster moves the list
+        return F.when((acc["n"] == 0) | (x["v"] - acc["anchor"] > tolerance), opened).otherwise(F.struct(acc["done"].alias("done"), acc["anchor"].alias("anchor"), (acc["n"] + x["n"]).alias("n"))).cast(kind)
 
-    folded = listed.withColumn("_c", F.aggregate("_l", F.array().cast(kind), step))
+    start = F.struct(none.alias("done"), F.lit(None).cast("double").alias("anchor"), F.lit(0).cast("long").alias("n")).cast(kind)
+    folded = listed.withColumn("_c", F.aggregate("_l", start, step, lambda acc: F.concat(acc["done"], F.array(F.struct(acc["anchor"].alias("anchor"), acc["n"].alias("n"))))))
     return folded.select(*key, F.posexplode("_c").alias("cluster", "_x")).select(*key, "cluster", F.col("_x.anchor").alias("anchor"), F.col("_x.n").alias("n"))
 
 
@@ -174,16 +176,12 @@ def tiling(parts: DataFrame, key: Sequence[str], top: str, bottom: str, toleranc
 def clamp_depths(outline: DataFrame, key: Sequence[str], idx: str, depth: str) -> DataFrame:
     """(key, idx, depth, clamped): a depth is at most one more than the clamped depth before it; the first is 0 at most.
 
-    The fold runs over one outline at a time, inside the JVM.
+    Clamped one after another, the i-th of them (from 0) is i at most, and the least of depth + i - j over the rows j up to it.
     """
-    listed = outline.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(depth).cast("int").alias("d")))).alias("_l"))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(-1))
-        return F.concat(acc, F.array(F.greatest(F.lit(0), F.least(x["d"], last + 1))))
-
-    folded = listed.withColumn("_c", F.aggregate("_l", F.array().cast("array<int>"), step))
-    return folded.select(*key, F.posexplode("_l").alias("_p", "_x"), "_c").select(*key, F.col("_x.i").alias(idx), F.col("_x.d").alias(depth), F.get("_c", F.col("_p")).alias("clamped"))
+    w = Window.partitionBy(*key).orderBy(idx, depth)
+    d = outline.select(*key, idx, F.col(depth).cast("int").alias(depth)).withColumn("_i", F.row_number().over(w) - 1)
+    least = F.min(F.when(F.col(depth).isNotNull(), F.greatest(F.col(depth), F.lit(0)) - F.col("_i"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("clamped", F.least(F.col("_i"), F.col("_i") + least).cast("int")).drop("_i")
 
 
 def even_stride(rows: DataFrame, key: Sequence[str], order: Sequence[str], count: int) -> DataFrame:

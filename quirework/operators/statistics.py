@@ -68,7 +68,12 @@ def weighted_median(rows: DataFrame, key: Sequence[str], value: str, weight: Col
 
 def medians(rows: DataFrame, key: Sequence[str], value: str) -> DataFrame:
     """(key, median, upper_median): the mean of the middle two, and the upper one."""
-    return rows.groupBy(*key).agg(F.median(value).alias("median"), F.expr(f"element_at(array_sort(collect_list({value})), cast(floor(count({value}) / 2) + 1 as int))").alias("upper_median"))
+    counted = rows.groupBy(*key, value).agg(F.count(value).alias("_c"))
+    run = F.sum("_c").over(Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    d = counted.withColumn("_run", run).withColumn("_n", F.sum("_c").over(Window.partitionBy(*key)))
+    at = lambda place: F.min(F.when(F.col("_run") >= place, F.col(value)))
+    g = d.groupBy(*key).agg(at(F.ceil(F.col("_n") / 2)).alias("_lower"), at(F.floor(F.col("_n") / 2) + 1).alias("upper_median"))
+    return g.select(*key, ((F.col("_lower") + F.col("upper_median")) / 2).cast("double").alias("median"), "upper_median")
 
 
 def offset_mode(rows: DataFrame, key: Sequence[str], printed: Column, index: Column, least: int = 3, percent: int = 40) -> DataFrame:

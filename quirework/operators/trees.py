@@ -12,11 +12,11 @@ def extents(outline: DataFrame, key: Sequence[str], idx: str, depth: str, levels
     """outline with subtree_end (idx of the next entry of no greater depth, or null) and parent (idx, or null).
 
     A preorder list is a tree. For each of the `levels` depths a running window knows the next entry at that depth or above
-    and the last one above it, so that no entry is paired with another.
+    and the last one above it, so that no entry is paired with another. A deeper entry is an error.
     """
     after = Window.partitionBy(*key).orderBy(idx).rowsBetween(1, Window.unboundedFollowing)
     before = Window.partitionBy(*key).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
-    end = F.lit(None).cast("long")
+    end = F.when(F.col(depth) >= levels, F.raise_error(F.concat(F.lit(f"an entry deeper than {levels} levels: "), F.col(depth).cast("string"))).cast("long"))
     parent = F.lit(None).cast("long")
     for d in range(levels):
         end = F.when(F.col(depth) == d, F.min(F.when(F.col(depth) <= d, F.col(idx))).over(after)).otherwise(end)

@@ -51,6 +51,8 @@ def test_sequence_checks(spark):
 def test_trees(spark):
     o = spark.createDataFrame([("b", i, d) for i, d in enumerate([0, 1, 2, 1, 0, 1])], "b string, idx long, depth int")
     e = trees.extents(o, ["b"], "idx", "depth", 4)
+    with pytest.raises(Exception, match="deeper than 1 levels"):
+        trees.extents(o, ["b"], "idx", "depth", 1).collect()
     assert rows(e, "idx", "subtree_end", "parent") == [(0, 4, None), (1, 3, 0), (2, 3, 1), (3, 4, 0), (4, None, None), (5, None, 4)]
     counts = spark.createDataFrame([(2, 5), (5, 1), (0, 2)], "idx long, n long")
     assert rows(trees.rollup(counts, e, "idx", "parent", "n", 3)) == [(0, 2, 7), (1, 0, 5), (2, 5, 5), (3, 0, 0), (4, 0, 1), (5, 1, 1)]

@@ -7,6 +7,7 @@ BAND_TOP, BAND_BOTTOM = 0.14, 0.86
 CLAMP, LEAST_WIDTH, LEAST_HEIGHT = 0.005, 0.02, 0.01
 SHARED_SHARE, SHARED_HEIGHT, SAME_PLACE = 0.05, 0.004, 0.001
 LINT_SHARE, TOUCH = 0.1, 0.005
+TALLEST, NARROWEST, SMALLEST = 0.45, 0.05, 0.002
 UNIT_TOLERANCE = 0.002
 #: Numbered sequences.
 OUTLIER_FACTOR, COVERAGE_PERCENT, COLUMN_GAP, BLOCK_GAP = 3, 80, 0.08, 1.7

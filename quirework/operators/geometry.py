@@ -133,11 +133,15 @@ def region_order(regions: DataFrame, key: Sequence[str], ord_: str) -> DataFrame
     return d.filter(F.col("_prev").isNotNull() & (F.col("_at") <= F.col("_prev"))).drop("_at", "_prev").withColumn("code", F.lit("continuation-order"))
 
 
-def size_faults(regions: DataFrame, key: Sequence[str], rect: str = "rect", factor: float = 4.0) -> DataFrame:
-    """region-size: regions more than factor times as high as their group's median, or flatter than a factor of it."""
-    h = rects.height(F.col(rect))
-    mid = regions.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.median(h).alias("_mid"), F.count(F.lit(1)).alias("_n")).filter("_n >= 5")
-    on = F.lit(True)
-    for k in key:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return regions.join(mid, on).filter((h > F.col("_mid") * factor) | (h * factor < F.col("_mid"))).withColumn("code", F.lit("region-size")).drop("_mid", "_n", *[f"_{k}" for k in key])
+def size_faults(regions: DataFrame) -> DataFrame:
+    """region-size of regions(book_id, page, id, unit, ord, rect): those that are no single item's by their measure.
+
+    An item's first region may be C.TALLEST of the page high unless the item is alone on it, any region has to be as wide as
+    C.NARROWEST and as large as C.SMALLEST; parts of a unit aren't measured.
+    """
+    r = F.col("rect")
+    first = F.col("ord") == F.min("ord").over(Window.partitionBy("book_id", "id"))
+    pages = regions.groupBy(F.col("book_id").alias("_b"), F.col("page").alias("_p")).agg((F.min("id") != F.max("id")).alias("_shared"))
+    d = regions.withColumn("_first", first).join(pages, F.col("book_id").eqNullSafe(F.col("_b")) & F.col("page").eqNullSafe(F.col("_p"))).filter("unit IS NULL")
+    high = F.col("_first") & F.col("_shared") & (rects.height(r) > C.TALLEST)
+    return d.filter(high | (rects.width(r) < C.NARROWEST) | (rects.area(r) < C.SMALLEST)).withColumn("code", F.lit("region-size")).drop("_first", "_shared", "_b", "_p")

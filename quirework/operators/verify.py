@@ -56,7 +56,7 @@ def check_places(regions: DataFrame) -> DataFrame:
     """overlap, duplicate-region and region-size of items' regions."""
     r = regions.filter("role = 'item'").select("book_id", "page", "id", F.coalesce("unit", "id").alias("unit"), "rect")
     over = geometry.overlapping_regions(r, ["book_id", "page"], "id", "unit", "rect")
-    size = geometry.size_faults(r, ["book_id"])
+    size = geometry.size_faults(regions.filter("role = 'item'").select("book_id", "page", "id", "unit", "ord", "rect"))
     return _out(over, F.col("code"), F.col("a"), F.col("page")).unionByName(_out(size, F.col("code"), F.col("id"), F.col("page")))
 
 

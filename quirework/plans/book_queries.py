@@ -49,14 +49,14 @@ i AS (SELECT *, {_N} AS n, regexp_matches(label, '^[0-9]+$') AS bare, (l, t, r,
 s AS {_SECTIONS},
 o AS (SELECT a.book_id, a.id, a.page, greatest(least(a.r, b.r) - greatest(a.l, b.l), 0) AS w, greatest(least(a.b, b.b) - greatest(a.t, b.t), 0) AS h, least((a.r - a.l) * (a.b - a.t), (b.r - b.l) * (b.b - b.t)) AS area,
   abs(a.l - b.l) <= 0.001::DOUBLE AND abs(a.t - b.t) <= 0.001::DOUBLE AND abs(a.r - b.r) <= 0.001::DOUBLE AND abs(a.b - b.b) <= 0.001::DOUBLE AS same FROM i a JOIN i b ON a.page = b.page AND a.id < b.id AND a.unit <> b.unit),
-sizes AS (SELECT book_id, median(greatest(b - t, 0)) AS mid FROM i GROUP BY 1),
+sizes AS (SELECT page, count(DISTINCT id) AS n FROM i GROUP BY 1),
 c AS (SELECT book_id, section, count(*) AS n, count(*) FILTER (has_answer) AS got FROM i GROUP BY ALL),
 d AS (SELECT DISTINCT book_id, section, n FROM i WHERE bare AND n IS NOT NULL), e AS (SELECT *, lead(n) OVER (PARTITION BY book_id, section ORDER BY n) AS nx FROM d),
 m AS (SELECT book_id, section, median(n) AS mid FROM i WHERE bare GROUP BY ALL),
 x AS (SELECT *, lag(context_key) OVER w AS before, lead(context_key) OVER w AS after FROM i WINDOW w AS (PARTITION BY book_id, section ORDER BY page, t, id)),
 f AS (
   SELECT book_id, CASE WHEN same THEN 'duplicate-region' ELSE 'overlap' END AS code, 'error' AS severity, id AS ref, page FROM o WHERE w > 0 AND h > 0 AND (same OR (w * h / area > 0.05::DOUBLE AND h >= 0.004::DOUBLE))
-  UNION SELECT book_id, 'region-size', 'warning', id, page FROM i JOIN sizes USING (book_id) WHERE greatest(b - t, 0) > mid * 4 OR greatest(b - t, 0) * 4 < mid
+  UNION SELECT book_id, 'region-size', 'warning', id, page FROM i JOIN sizes USING (page) WHERE k % 2 = 1 AND ((sizes.n > 1 AND b - t > 0.45::DOUBLE) OR r - l < 0.05::DOUBLE OR greatest(r - l, 0) * greatest(b - t, 0) < 0.002::DOUBLE)
   UNION SELECT i.book_id, CASE WHEN s.section IS NULL THEN 'section-unknown' ELSE 'section-page' END, 'error', i.section || ':' || label, page FROM i LEFT JOIN s ON s.book_id = i.book_id AND s.section = i.section WHERE s.section IS NULL OR page < first_page OR page > last_page
   UNION SELECT book_id, 'gap', 'warning', section || ':' || (n + 1), NULL FROM e WHERE nx - n > 1
   UNION SELECT book_id, 'duplicate', 'error', section || ':' || label, NULL FROM i GROUP BY book_id, section, label HAVING count(*) > 1

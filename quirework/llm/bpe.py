@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +25,12 @@ from quirework.functions.grouped import append
 TEXT_LEAF, LEAF = 256, 48
 #: Matches at the end of a part that what follows it may change: none of the pattern's looks beyond its next but one.
 LOOK = 2
-#: Leaves whose new matches are encoded together.
-LEAVES = 2048
 #: Ids whose bytes are a leaf of the tree of decoding.
 IDS = 4096
 #: Matches whose ids a worker remembers, at most.
 MEMO = 400_000
 INF = 1 << 60
+_IDS = itemgetter(1)
 #: Ids are below it.
 WIDE = 1 << 24
 
@@ -47,9 +49,6 @@ class Vocabulary:
             raise ValueError("a byte has no rank")
         #: the token of two neighbours, by both of their ids in one number
         self.merged = {ranks[k[:i]] * WIDE + ranks[k[i:]]: v for k, v in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks}
-        self.singles = np.array(self.single, np.int64)
-        self.keys = np.array(sorted(self.merged) or [-1], np.int64)
-        self.values = np.array([self.merged.get(k, INF) for k in self.keys.tolist()], np.int64)
 
     def merge_all(self, data: bytes) -> list[int]:
         """The ids of data: the neighbours whose token has the lowest rank, leftmost first, are merged until none have one."""
@@ -88,50 +87,6 @@ class Vocabulary:
                     heapq.heappush(heap, (r, k))
         return [x for x in ids if x >= 0]
 
-    def merge_many(self, pieces: list[bytes]) -> list[list[int]]:
-        """merge_all() of each of many short pieces, a merge of all at a time."""
-        if not pieces:
-            return []
-        ids = self.singles[np.frombuffer(b"".join(pieces), np.uint8)]
-        piece = np.repeat(np.arange(len(pieces)), np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        rank = np.full(len(ids), INF)
-        inside = np.flatnonzero(piece[1:] == piece[:-1])
-        rank[inside] = self.merged_many(ids[inside], ids[inside + 1])
-        settled: list[tuple[np.ndarray, np.ndarray]] = []
-        while len(ids):
-            first = np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]]))
-            length = np.diff(first, append=len(ids))
-            low = np.minimum.reduceat(rank, first)
-            if (done := low == INF).any():
-                gone = np.repeat(done, length)
-                settled.append((piece[gone], ids[gone]))
-                ids, piece, rank = ids[~gone], piece[~gone], rank[~gone]
-                low, length = low[~done], length[~done]
-                if not len(ids):
-                    break
-            hit = np.flatnonzero(rank == np.repeat(low, length))
-            at = hit[np.concatenate([[True], piece[hit[1:]] != piece[hit[:-1]]])]
-            ids[at] = rank[at]
-            stays = np.ones(len(ids), bool)
-            stays[at + 1] = False
-            ids, piece, rank = ids[stays], piece[stays], rank[stays]
-            at -= np.arange(len(at))  # one place before each is gone
-            for left in (at, at[at > 0] - 1):
-                both = left[left + 1 < len(ids)]
-                both = both[piece[both] == piece[both + 1]]
-                rank[left] = INF
-                rank[both] = self.merged_many(ids[both], ids[both + 1])
-        piece, ids = (np.concatenate(x) for x in zip(*settled, strict=True))
-        order = np.argsort(piece, kind="stable")
-        ends = np.cumsum(np.bincount(piece, minlength=len(pieces))).tolist()
-        flat = ids[order].tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-    def merged_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * WIDE + right
-        place = np.minimum(self.keys.searchsorted(key), len(self.keys) - 1)
-        return np.where(self.keys[place] == key, self.values[place], INF)
-
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The ids of the bytes of left and right together, which are the ids of their own bytes.
 
@@ -197,15 +152,12 @@ class Encoder(dict):
             found = (match, self.vocabulary.match(match.encode()))
             if len(match) > LEAF:
                 return found
-        self.remember(match, found)
-        return found
-
-    def remember(self, match: str, found: tuple[str, list[int]]) -> None:
         if len(self) >= self.memo:
             # what has been used since the last time stays
             self.older = self.copy()
             self.clear()
         self[match] = found
+        return found
 
     def join(self, left: list, right: list) -> list:
         """The matches of two neighbouring parts together. left may be changed."""
@@ -270,45 +222,16 @@ class Encoder(dict):
             at = end
         return out
 
-    def leaves(self, texts: Iterable[str]) -> Iterator[list]:
-        """The matches of each leaf of the texts with their ids, in order; new matches of many leaves are encoded together."""
-        held: list[list[str]] = []
-        for text in texts:
-            for i in range(0, len(text) or 1, TEXT_LEAF):
-                held.append(self.find(text[i : i + TEXT_LEAF]))
-                if len(held) == LEAVES:
-                    yield from self.known(held)
-                    held = []
-        yield from self.known(held)
-
-    def known(self, leaves: list[list[str]]) -> Iterator[list]:
-        different = set().union(*leaves)
-        new = [x for x in different if len(x) <= LEAF and x not in self and x not in self.older]
-        for x, y in zip(new, self.vocabulary.merge_many([x.encode() for x in new]), strict=True):
-            self.remember(x, (x, y))
-        # a small table for what these leaves hold: most lookups stay within a processor's cache
-        here = {x: self[x] for x in different}
-        for found in leaves:
-            yield [here[x] for x in found]
-
-    def built(self, n: int, leaves: Iterator[list]) -> list:
-        """The matches of the next n leaves, with their ids: those of both halves, joined."""
-        if n < 2:
-            return next(leaves)
-        half = (n + 1) // 2
-        return self.join(self.built(half, leaves), self.built(n - half, leaves))
-
-    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
-        """The ids of each text, up its own tree."""
-        leaves = self.leaves(texts)
-        for text in texts:
-            out: list[int] = []
-            for _, ids in self.built(-(-len(text) // TEXT_LEAF), leaves):
-                out += ids
-            yield out
+    def matches(self, text: str) -> list:
+        """The matches of a text with their ids: its halves are matched and encoded, then joined."""
+        leaves = -(-len(text) // TEXT_LEAF)
+        if leaves < 2:
+            return list(map(self.__getitem__, self.find(text)))
+        half = (leaves + 1) // 2 * TEXT_LEAF
+        return self.join(self.matches(text[:half]), self.matches(text[half:]))
 
     def encode(self, text: str) -> list[int]:
-        return next(self.encode_all([text]))
+        return list(chain.from_iterable(map(_IDS, self.matches(text))))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -344,7 +267,17 @@ def _encoder(sent: Broadcast, mark: str, pattern: str) -> Encoder:
 
 def _with(docs: DataFrame, ranks: dict[bytes, int], pattern: str, column: str, added: T.StructType, f: Callable[[Encoder, pa.Array], list[pa.Array]], drop: tuple[str, ...] = ()) -> DataFrame:
     sent, mark = _ship(docs, ranks)
-    return append(docs, column, added, lambda values: f(_encoder(sent, mark, pattern), values), drop)
+
+    def run(values: pa.Array) -> list[pa.Array]:
+        encoder = _encoder(sent, mark, pattern)
+        # what is remembered has no cycles, and would be looked through for them again and again
+        gc.disable()
+        try:
+            return f(encoder, values)
+        finally:
+            gc.enable()
+
+    return append(docs, column, added, run, drop)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
@@ -356,8 +289,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     def ids(e: Encoder, column: pa.Array) -> list[pa.Array]:
         # one text at a time: ids take far more room as Python's numbers than as the text
         flat, ends = array("i"), array("i", [0])
-        for found in e.encode_all([t or "" for t in column.to_pylist()]):
-            flat.extend(found)
+        for t in column:
+            flat.extend(e.encode(t.as_py() or ""))
             ends.append(len(flat))
         return [pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))]
 
@@ -390,7 +323,8 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
 
     def both(e: Encoder, column: pa.Array) -> list[pa.Array]:
         n, there, back = [], [], []
-        for ids in e.encode_all([t or "" for t in column.to_pylist()]):
+        for t in column:
+            ids = e.encode(t.as_py() or "")
             n.append(len(ids))
             there.append(hashlib.sha256(" ".join([e.vocabulary.names[i] for i in ids]).encode()).hexdigest())
             back.append(hashlib.sha256(e.vocabulary.decode(ids)).hexdigest())

@@ -192,8 +192,6 @@ def test_joins_of_tokens_equal_encoding_the_whole(vocab):
         data = bytes(rnd.choice(rnd.choice([b"ab", b"the and", bytes(range(256))])) for _ in range(rnd.randint(0, 600)))
         cut = rnd.randint(0, len(data))
         assert table.join(table.merge_all(data[:cut]), table.merge_all(data[cut:])) == table.merge_all(data)
-        parts = [data[i : i + 40] for i in range(0, len(data), 40)]
-        assert table.merge_many(parts) == [table.merge_all(x) for x in parts]
         if len(data) > 1:
             singles = [table.single[x] for x in data]
             assert table.merge_long(singles) == table.merge_all(data)

@@ -22,15 +22,15 @@ from pyspark.sql import types as T
 from quirework.functions.grouped import append
 
 #: Characters of a text that are a leaf of the tree, and bytes of a match; whatever is longer is halved.
-TEXT_LEAF, LEAF = 256, 48
+TEXT_LEAF, LEAF = 512, 48
 #: Matches at the end of a part that what follows it may change: none of the pattern's looks beyond its next but one.
 LOOK = 2
 #: Ids whose bytes are a leaf of the tree of decoding.
 IDS = 4096
 #: Matches whose ids a worker remembers, at most.
-MEMO = 400_000
+MEMO = 600_000
 INF = 1 << 60
-_IDS = itemgetter(1)
+_IDS, _NAMED = itemgetter(1), itemgetter(2)
 #: Ids are below it.
 WIDE = 1 << 24
 
@@ -43,7 +43,7 @@ class Vocabulary:
         if len(inverse) < len(ranks) or max(inverse, default=0) >= WIDE:
             raise ValueError(f"ranks have to be different and below {WIDE}")
         self.tokens = [inverse.get(i) for i in range(max(inverse, default=-1) + 1)]
-        self.names = list(map(str, range(len(self.tokens))))
+        self.names = [f" {i}" for i in range(len(self.tokens))]
         self.single = [ranks.get(bytes([i])) for i in range(256)]
         if None in self.single:
             raise ValueError("a byte has no rank")
@@ -131,7 +131,7 @@ class Vocabulary:
 
 
 class Encoder(dict):
-    """Texts to ids by one vocabulary and pattern; as a dict, what it remembers: match -> (match, ids).
+    """Texts to ids by one vocabulary and pattern; as a dict, what it remembers: match -> (match, ids, ids in decimal with a blank before each).
 
     A part of a text is the list of its matches, each with its ids, as the pattern finds them in that part alone. Two parts
     are joined by matching a window about the border anew: from LOOK matches before it, since no match but the last LOOK of a
@@ -146,10 +146,13 @@ class Encoder(dict):
         self.find = regex.compile(pattern).findall
         self.joins = 0  #: how often parts of a text were joined
 
-    def __missing__(self, match: str) -> tuple[str, list[int]]:
+    def entry(self, match: str, ids: list[int]) -> tuple[str, list[int], str]:
+        return match, ids, "".join([self.vocabulary.names[i] for i in ids])
+
+    def __missing__(self, match: str) -> tuple[str, list[int], str]:
         found = self.older.get(match)
         if found is None:
-            found = (match, self.vocabulary.match(match.encode()))
+            found = self.entry(match, self.vocabulary.match(match.encode()))
             if len(match) > LEAF:
                 return found
         if len(self) >= self.memo:
@@ -177,7 +180,7 @@ class Encoder(dict):
                     left += right[1:]
                     return left
         old = left[-LOOK:]
-        before = "".join([x for x, _ in old])
+        before = "".join([x[0] for x in old])
         b = 2
         while True:
             b = min(2 * b, len(right))
@@ -185,7 +188,7 @@ class Encoder(dict):
             for i in range(b):
                 at += len(right[i][0])
                 ends[at] = i + 1
-            window = self.find(before + "".join([x for x, _ in right[:b]]))
+            window = self.find(before + "".join([x[0] for x in right[:b]]))
             # the last matches of the window may depend on what follows it
             sure = len(window) if b == len(right) else len(window) - LOOK
             at, new, place = 0, [], 0
@@ -218,7 +221,7 @@ class Encoder(dict):
                     stop += len(old[j][0])
                     ids = old[j][1] if ids is None else self.vocabulary.join(ids, old[j][1])
                     j += 1
-                out.append((x, ids) if stop == end else self[x])
+                out.append(self.entry(x, ids) if stop == end else self[x])
             at = end
         return out
 
@@ -324,9 +327,10 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame
     def both(e: Encoder, column: pa.Array) -> list[pa.Array]:
         n, there, back = [], [], []
         for t in column:
-            ids = e.encode(t.as_py() or "")
+            found = e.matches(t.as_py() or "")
+            ids = list(chain.from_iterable(map(_IDS, found)))
             n.append(len(ids))
-            there.append(hashlib.sha256(" ".join([e.vocabulary.names[i] for i in ids]).encode()).hexdigest())
+            there.append(hashlib.sha256("".join(map(_NAMED, found))[1:].encode()).hexdigest())
             back.append(hashlib.sha256(e.vocabulary.decode(ids)).hexdigest())
         return [pa.array(n, pa.int64()), pa.array(there, pa.string()), pa.array(back, pa.string())]
 

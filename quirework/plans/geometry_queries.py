@@ -63,7 +63,8 @@ def rectangle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rectangles of an order's lines that share more than a twentieth of the smaller."""
     li = table(spark, sf_dir, "lineitem")
     left, top = F.col("l_discount") * 5, F.col("l_quantity") / 60
-    r = rects.rect(left, top, F.least(F.lit(1.0), left + 0.3), F.least(F.lit(1.0), top + F.col("l_linenumber") * 0.05))
+    # the SQL's 0.05 is a decimal: its product is rounded to a double once
+    r = rects.rect(left, top, F.least(F.lit(1.0), left + 0.3), F.least(F.lit(1.0), top + F.col("l_linenumber").cast("long") * 5 / 100))
     b = li.select("l_orderkey", "l_partkey", "l_suppkey", r.alias("r")).withColumn("lo", F.col("r.top")).withColumn("hi", F.col("r.bottom"))
     j = G.overlaps(b, b, ["l_orderkey"], "lo", "hi", 0.25).filter(F.struct("a_l_partkey", "a_l_suppkey") < F.struct(F.col("b_l_partkey").alias("a_l_partkey"), F.col("b_l_suppkey").alias("a_l_suppkey")))
     share = rects.shared(F.col("a_r"), F.col("b_r"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,7 +68,63 @@ def by_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], f: Callabl
         if out:
             yield record_batch(pd.concat(out), made)
 
-    return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order).mapInArrow(run, kind)
+    return gathered(df, keys, order).mapInArrow(run, kind)
+
+
+def gathered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """df with the rows of equal keys in one partition, one after another and sorted by order.
+
+    Dealt by a hash of the keys: a shuffle by the keys themselves is left out where the rows lie so already, and then AQE may
+    coalesce the inputs of a union each in its own way, or split a skewed join below, as Python's rows ask for nothing.
+    """
+    return df.repartition(F.xxhash64(*[F.col(k) for k in keys])).sortWithinPartitions(*keys, *order)
+
+
+def _changes(b: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """Rows from the second on whose keys differ from those of the row before."""
+    new = np.zeros(max(0, b.num_rows - 1), bool)
+    for k in keys:
+        x, y = b.column(k)[1:], b.column(k)[:-1]
+        differ = pc.fill_null(pc.not_equal(x, y), True)
+        new |= pc.and_not(differ, pc.and_(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new) + 1
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Batches that hold the groups of equal keys as a whole, many at a time, with where each begins, and the end."""
+    held: list[pa.RecordBatch] = []
+
+    def joined(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, list[int]]:
+        b = pa.concat_batches(parts)
+        return b, [0, *_changes(b, keys).tolist(), b.num_rows]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and any(held[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in keys):
+            yield joined(held)
+            held = []
+        cuts = _changes(b, keys)
+        if len(cuts):
+            last = int(cuts[-1])
+            yield joined([*held, b.slice(0, last)])
+            held, b = [], b.slice(last)
+        held.append(b)
+    if held:
+        yield joined(held)
+
+
+def append_by_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], added: Sequence[T.StructField], f: Callable[[pa.RecordBatch, list[int]], list[pa.Array]]) -> DataFrame:
+    """df with columns that f makes of whole groups, many in a call. Groups have to be bounded; there may be any number of them."""
+    bound_batches(df.sparkSession)
+    kind = T.StructType([*df.schema.fields, *added])
+    names = [x.name for x in kind.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, at in whole_runs(batches, keys):
+            yield pa.RecordBatch.from_arrays([*b.columns, *f(b, at)], names)
+
+    return gathered(df, keys, order).mapInArrow(run, kind)
 
 
 def append(df: DataFrame, column: str, added: T.StructType, f: Callable[[pa.Array], list[pa.Array]], drop: Sequence[str] = ()) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirework import constants as C
 from quirework.functions import rects
-from quirework.functions.grouped import by_runs
+from quirework.functions.grouped import append_by_runs
 from quirework.operators import geometry, statistics
 
 
@@ -69,20 +72,23 @@ def item_rows(items: DataFrame, overlap: float = 0.5) -> DataFrame:
     """items with row and row_size: an item joins the row above if it overlaps the row's first item by half, sideways apart.
 
     The anchor is the row's first item, so a page is folded in order."""
-    added = "row int, row_size int"
-    schema = ", ".join(f"{n} {t}" for n, t in items.dtypes) + ", " + added
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        row, anchor, out = -1, None, []
-        for r in g.itertuples():
-            common = min(r.bottom, anchor[1]) - max(r.top, anchor[0]) if anchor else -1.0
-            if anchor is None or common < overlap * min(r.bottom - r.top, anchor[1] - anchor[0]):
-                row, anchor = row + 1, (r.top, r.bottom)
-            out.append(row)
-        sizes = pd.Series(out).value_counts()
-        return g.assign(row=out, row_size=[int(sizes[x]) for x in out])
-
-    return by_runs(items, ["book_id", "page"], ["top", "left"], run, schema)
+    added = [T.StructField("row", T.IntegerType()), T.StructField("row_size", T.IntegerType())]
+
+    def run(b: pa.RecordBatch, at: list[int]) -> list[pa.Array]:
+        tops, bottoms = (b.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("top", "bottom"))
+        out: list[int] = []
+        first: list[int] = []  # the place of each item's first of its row
+        for i, j in itertools.pairwise(at):
+            row = -1
+            for k in range(i, j):
+                top, bottom = tops[k], bottoms[k]
+                if row < 0 or min(bottom, high) - max(top, low) < overlap * min(bottom - top, high - low):
+                    row, low, high, start = row + 1, top, bottom, k
+                out.append(row)
+                first.append(start)
+        return [pa.array(out, pa.int32()), pa.array(np.bincount(first)[first], pa.int32())]
+
+    return append_by_runs(items, ["book_id", "page"], ["top", "left"], added, run)
 
 
 def snap(edge: float, lines: list[tuple[float, float]], rounds: int = 6, margin: float = 0.002) -> float:

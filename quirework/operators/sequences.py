@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_right
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quirework import constants as C
-from quirework.functions.grouped import by_runs
+from quirework.functions.grouped import append_by_runs
 from quirework.session import cut
 
 
@@ -112,13 +114,18 @@ def longest_rising(values: Sequence[float]) -> list[int]:
 
 def out_of_order(rows: DataFrame, key: Sequence[str], order: Sequence[str], n: str) -> DataFrame:
     """rows with in_order: whether a row is on its group's longest non-decreasing subsequence of n. A group is a column of a section."""
-    schema = T.StructType(rows.schema.fields + [T.StructField("in_order", T.BooleanType())])
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        on = set(longest_rising(g[n].tolist()))
-        return g.assign(in_order=[i in on for i in range(len(g))])
-
-    return by_runs(rows, key, order, run, schema)
+    def run(b: pa.RecordBatch, at: list[int]) -> list[pa.Array]:
+        values = b.column(n).to_numpy(zero_copy_only=False).tolist()
+        out = np.zeros(len(values), bool)
+        for i, j in itertools.pairwise(at):
+            if j - i == 1:
+                out[i] = True
+            else:
+                out[[i + k for k in longest_rising(values[i:j])]] = True
+        return [pa.array(out)]
+
+    return append_by_runs(rows, key, order, [T.StructField("in_order", T.BooleanType())], run)
 
 
 def section_report(rows: DataFrame, section: str, n: str, answered: Column) -> DataFrame:

@@ -78,7 +78,10 @@ def check_sequences(items: DataFrame, sections: DataFrame) -> DataFrame:
     cover = named(sequences.coverage(d, "_key", F.coalesce(F.col("has_answer"), F.lit(False))).filter("severity <> 'none'"))
     parts.append(_out(cover, "no-solution", F.col("section"), none))
     columns = sequences.lag_islands(whole, ["_key", "page"], "left", C.COLUMN_GAP, ["top", "id"])
-    lis = sequences.out_of_order(columns.select("_key", "book_id", "section", "label", "page", "island", "top", "id", F.col("_n").cast("double").alias("_n")).filter("_n IS NOT NULL"), ["_key", "page", "island"], ["top", "id"], "_n")
+    column = ["_key", "page", "island"]
+    # a number alone in its column is in order
+    several = columns.select("_key", "book_id", "section", "label", "page", "island", "top", "id", F.col("_n").cast("double").alias("_n")).filter("_n IS NOT NULL").withColumn("_several", F.count(F.lit(1)).over(Window.partitionBy(*column)) > 1).filter("_several").drop("_several")
+    lis = sequences.out_of_order(several, column, ["top", "id"], "_n")
     parts.append(_out(lis.filter("NOT in_order"), "order", ref(), F.col("page")))
     out = parts[0]
     for p in parts[1:]:

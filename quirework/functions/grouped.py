@@ -80,7 +80,7 @@ def gathered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return df.repartition(F.xxhash64(*[F.col(k) for k in keys])).sortWithinPartitions(*keys, *order)
 
 
-def _changes(b: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+def changes(b: pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
     """Rows from the second on whose keys differ from those of the row before."""
     new = np.zeros(max(0, b.num_rows - 1), bool)
     for k in keys:
@@ -96,7 +96,7 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterat
 
     def joined(parts: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, list[int]]:
         b = pa.concat_batches(parts)
-        return b, [0, *_changes(b, keys).tolist(), b.num_rows]
+        return b, [0, *changes(b, keys).tolist(), b.num_rows]
 
     for b in batches:
         if not b.num_rows:
@@ -104,7 +104,7 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterat
         if held and any(held[-1].column(k)[-1].as_py() != b.column(k)[0].as_py() for k in keys):
             yield joined(held)
             held = []
-        cuts = _changes(b, keys)
+        cuts = changes(b, keys)
         if len(cuts):
             last = int(cuts[-1])
             yield joined([*held, b.slice(0, last)])

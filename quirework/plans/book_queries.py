@@ -311,15 +311,9 @@ def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projects written as JSON, one a book, and their frames read again."""
     i = items(spark, sf_dir).filter("k = 1")
     frame = F.struct("id", "kind", "page", "rect", "section", F.lit("kept").alias("unknown"))
-    one = i.groupBy("book_id").agg(F.to_json(F.struct(F.lit(1).alias("format"), F.sort_array(F.collect_list(frame)).alias("frames"))).alias("value"))
     path = _scratch(spark, "projects")
-    one.repartition(7, "book_id").select("value").write.text(path)
-    lines_ = spark.read.text(path)
-    back = _scratch(spark, "project")
-    # a file a book: the writer splits by rows
-    lines_.write.option("maxRecordsPerFile", 1).text(back)
-    read = documents.projects(spark, back)
-    return documents.frames(read).select("page", "id", F.round(F.col("rect.top") * 60).cast("long").alias("quantity"), "section")
+    documents.write_projects(i.select("book_id", "id", frame.alias("frame")), path)
+    return documents.project_frames(spark, path).select("page", "id", F.round(F.col("rect.top") * 60).cast("long").alias("quantity"), "section")
 
 
 @query("SELECT event_id AS exit_code, event_type AS tool, value > 50 AS ok FROM (SELECT CAST(event_id AS INTEGER) AS event_id, event_type, value FROM events)")

@@ -14,6 +14,7 @@ from quirework.operators.census import select_sequence
 
 FRAMES = "book_id string, label string, style string, confidence double, page int, left double, top double, right double, bottom double, n_regions int"
 ACCEPT, REJECTED = 0.5, 0.2
+TITLE_SCORE, TITLE_LEAD = 0.5, 0.15
 
 
 def start_candidates(lines: DataFrame) -> DataFrame:
@@ -103,6 +104,38 @@ def answer_ranges(key_lines: DataFrame, most: int = 60) -> DataFrame:
     return d.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("book_id", "section", "n", "page", "top", "by_range")
 
 
+def _title_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(_b, _k, _t): the different titles _k of left and _t of right, of a book _b, that share a word and score `least` or more.
+
+    Of two sets of m and n words that are alike by t, o = t / (1 + t) * (m + n) are common, so that the rarest m - o + 1 and n - o + 1
+    of each have one in common: a word of many titles brings none together that have no other. A title within another is looked up
+    among the other's pieces of the lengths that titles have.
+    """
+    t = least - 0.01  # a little less, as scores are rounded
+    both = left.select("_b", F.col("_k").alias("_x"), F.lit(True).alias("_l")).unionByName(right.select("_b", F.col("_t").alias("_x"), F.lit(False).alias("_l")))
+    titles = both.filter("_x IS NOT NULL").groupBy("_b", "_x").agg(F.max("_l").alias("_left"), F.max(~F.col("_l")).alias("_right")).withColumn("_ws", F.array_distinct(F.split("_x", " ")))
+    words = titles.select("_b", "_x", F.explode("_ws").alias("_w"))
+    often = words.groupBy(F.col("_b").alias("_wb"), F.col("_w").alias("_ww")).agg(F.count(F.lit(1)).alias("_n"))
+    rare = words.join(often, (F.col("_b") == F.col("_wb")) & (F.col("_w") == F.col("_ww"))).groupBy("_b", "_x").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_w"))), lambda x: x["_w"]).alias("_ws"))
+    measured = titles.select("_b", "_x", "_left", "_right", F.size("_ws").alias("_m"), F.length("_x").alias("_len"))
+    there = measured.groupBy(F.col("_b").alias("_sb")).agg(F.collect_set("_m").alias("_sizes"), F.collect_set("_len").alias("_lens"))
+    d = measured.join(rare, ["_b", "_x"]).join(there, F.col("_b") == F.col("_sb")).drop("_sb")
+
+    sized = d.withColumn("_o", F.explode(F.filter("_sizes", lambda n: (n >= t * F.col("_m")) & (n * t <= F.col("_m")))))
+    common = F.ceil(t / (1 + t) * (F.col("_m") + F.col("_o")) - 1e-9).cast("int")
+    first = sized.withColumn("_w", F.explode(F.slice("_ws", F.lit(1), F.greatest(F.lit(1), F.col("_m") - common + 1))))
+    x = first.filter("_left").select("_b", F.col("_x").alias("_k"), "_m", "_o", "_w")
+    y = first.filter("_right").select("_b", F.col("_x").alias("_t"), F.col("_o").alias("_m"), F.col("_m").alias("_o"), "_w")
+    alike = x.join(y, ["_b", "_m", "_o", "_w"]).select("_b", "_k", "_t")
+
+    def within(outer: DataFrame, inner: DataFrame, a: str, b: str) -> DataFrame:
+        at = F.filter(F.flatten(F.transform(F.filter("_lens", lambda n: (n > 0) & (n < F.col("_len"))), lambda n: F.transform(F.sequence(F.lit(1), F.col("_len") - n + 1), lambda i: F.substring(F.col("_x"), i, n)))), lambda p: ~p.startswith(" ") & ~p.endswith(" "))
+        pieces = outer.select("_b", F.col("_x").alias(a), "_ws", F.explode(F.array_distinct(at)).alias(b)).filter(F.arrays_overlap(F.split(b, " "), F.col("_ws")))
+        return pieces.join(inner.select("_b", F.col("_x").alias(b)), ["_b", b]).select("_b", "_k", "_t")
+
+    return alike.unionByName(within(d.filter("_left"), d.filter("_right"), "_k", "_t")).unionByName(within(d.filter("_right"), d.filter("_left"), "_t", "_k")).distinct()
+
+
 def match_blocks(blocks: DataFrame, sections: DataFrame) -> DataFrame:
     """(book_id, block, section, how): an answer block's section by its marker, else by the best title of .5 and .15 more than the next."""
     from quirework.operators.reconcile import title_score
@@ -110,13 +143,16 @@ def match_blocks(blocks: DataFrame, sections: DataFrame) -> DataFrame:
     s = sections.select(F.col("book_id").alias("_b"), F.col("label").alias("section"), L.title_key(F.col("title")).alias("_t"))
     by_label = blocks.join(s, (F.col("book_id") == F.col("_b")) & (F.col("marker") == F.col("section"))).select("book_id", "block", "section", F.lit("marker").alias("how"))
     rest = blocks.join(by_label.select("book_id", "block"), ["book_id", "block"], "left_anti").filter("title IS NOT NULL")
-    # titles meet where they have a word in common; without one their score is nothing
-    word = lambda d, c: d.withColumn("_w", F.explode(F.array_distinct(F.split(c, " "))))
-    a, b = word(rest.withColumn("_k", L.title_key(F.col("title"))), F.col("_k")), word(s, F.col("_t")).withColumnRenamed("_w", "_w2")
-    pairs = a.join(b, (F.col("book_id") == F.col("_b")) & (F.col("_w") == F.col("_w2"))).select("book_id", "block", "section", title_score(F.col("_k"), F.col("_t")).alias("score")).distinct()
+    k = rest.withColumn("_k", L.title_key(F.col("title")))
+    # whichever two of the sections of a title stand for it: with a second one none is told
+    named = s.filter("_t IS NOT NULL").groupBy("_b", "_t").agg(F.array_distinct(F.array(F.min(F.struct("section")), F.max(F.struct("section")))).alias("_s"))
+    scored = _title_pairs(k.select(F.col("book_id").alias("_b"), "_k"), named.select("_b", "_t"), TITLE_SCORE - TITLE_LEAD).withColumn("score", title_score(F.col("_k"), F.col("_t")))
+    each = scored.join(named, ["_b", "_t"]).select("_b", "_k", F.explode("_s.section").alias("section"), "score").distinct()
+    best = each.withColumn("_r", F.row_number().over(Window.partitionBy("_b", "_k").orderBy(F.col("score").desc(), "section"))).filter("_r <= 2").select("_b", F.col("_k").alias("_key"), "section", "score")
+    pairs = k.join(best, (F.col("book_id") == F.col("_b")) & (F.col("_k") == F.col("_key"))).select("book_id", "block", "section", "score").distinct()
     w = Window.partitionBy("book_id", "block").orderBy(F.col("score").desc(), "section")
     ranked = pairs.withColumn("_r", F.row_number().over(w)).withColumn("_next", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
-    by_title = ranked.filter((F.col("_r") == 1) & (F.col("score") >= 0.5) & (F.col("score") - F.col("_next") >= 0.15)).select("book_id", "block", "section", F.lit("title").alias("how"))
+    by_title = ranked.filter((F.col("_r") == 1) & (F.col("score") >= TITLE_SCORE) & (F.col("score") - F.col("_next") >= TITLE_LEAD)).select("book_id", "block", "section", F.lit("title").alias("how"))
     return by_label.unionByName(by_title)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,3 +75,25 @@ def title_score(a: Column, b: Column) -> Column:
 def close_spelling(a: Column, b: Column) -> Column:
     """Edit distance of at most 2 or 12 per cent of the longer, whichever is more."""
     return F.levenshtein(a, b) <= F.greatest(F.lit(2), F.floor(F.greatest(F.length(a), F.length(b)) * 0.12).cast("int"))
+
+
+def title_pairs(rows: DataFrame, key: Sequence[str], ident: str, title: str, block: int = 512) -> DataFrame:
+    """(a, b, close, score): every two rows of a key, a before b by ident, with close_spelling() and title_score() of their titles.
+
+    Two titles are compared once, however many rows have them; the rows of a title meet those of another in blocks.
+    """
+    same = lambda d, names: reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_c{i}")) for i, k in enumerate(names)])
+    names = [*key, title]
+    counted = rows.groupBy(*[F.col(k).alias(f"_c{i}") for i, k in enumerate(names)]).agg(F.ceil(F.count(F.lit(1)) / block).alias("_n"))
+    dealt = rows.join(counted, same(rows, names)).withColumn("_block", F.pmod(F.xxhash64(ident), F.col("_n")))
+    g = dealt.groupBy(*names, "_block").agg(F.collect_list(ident).alias("_ids"))
+    side = lambda n: g.select(*[F.col(k).alias(f"{n}{i}") for i, k in enumerate(key)], F.col(title).alias(f"{n}_t"), F.col("_block").alias(f"{n}_block"), F.col("_ids").alias(f"{n}_ids"))
+    place = lambda n: F.struct(F.col(f"{n}_t").alias("t"), F.col(f"{n}_block").alias("block"))
+    on = reduce(lambda x, y: x & y, [F.col(f"x{i}") == F.col(f"y{i}") for i in range(len(key))], place("x") <= place("y"))
+    pairs = side("x").join(side("y"), on).select("x_ids", "y_ids", (place("x") == place("y")).alias("_own"), close_spelling(F.col("x_t"), F.col("y_t")).alias("close"), title_score(F.col("x_t"), F.col("y_t")).alias("score"), (F.col("x_t").isNull() & F.col("y_t").isNotNull()).alias("_missing"))
+    # few bytes become many rows: AQE would leave them in few tasks
+    spread = pairs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = spread.withColumn("_i", F.explode("x_ids")).withColumn("_j", F.explode("y_ids")).filter((F.col("_i") < F.col("_j")) | (~F.col("_own") & (F.col("_i") > F.col("_j"))))
+    # as in SQL a title shares no word with a missing one behind it, and a missing title has no score; missing ones stand left
+    score = F.when(F.col("_missing") & (F.col("_j") < F.col("_i")), 0.0).otherwise(F.col("score"))
+    return met.select(F.least("_i", "_j").alias("a"), F.greatest("_i", "_j").alias("b"), "close", score.alias("score"))

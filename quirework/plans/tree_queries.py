@@ -138,6 +138,4 @@ FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partk
 def title_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of the parts of one brand and size: edit distance and word overlap."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.lower("p_name").alias("t"))
-    a, b = p.alias("a"), p.alias("b")
-    j = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return j.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), R.close_spelling(F.col("a.t"), F.col("b.t")).alias("close"), F.round(R.title_score(F.col("a.t"), F.col("b.t")), 6).alias("score"))
+    return R.title_pairs(p, ["p_brand", "p_size"], "p_partkey", "t").withColumn("score", F.round("score", 6))

@@ -290,9 +290,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width:
     base, named = _rooted(docs, id_col, text, width, percent, k)
     rows = base.join(named.select("_node", "root"), F.col("node") == F.col("_node")).select("root", F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_mark").alias("mark")).alias("row"))
     stays = rows.groupBy("root").agg(F.min("row").alias("first")).select("root", "first")
-    gone = rows.join(stays, "root").filter(F.col("row") != F.col("first")).select("row.id", "row.mark").distinct()
+    # an id travels within a struct: equal to another where both are null, so that grouping and join share one shuffle of the rows
+    gone = rows.join(stays, "root").filter(F.col("row") != F.col("first")).select("row.mark", F.struct("row.id").alias("of")).distinct()
+    packed = pack(docs, mark=F.xxhash64(F.col(f"`{text}`")), of=F.struct(F.col(f"`{id_col}`").alias("id")))
+    one = packed.groupBy("mark", "of").agg(F.first("row").alias("row"))
     # a row that is the first of its component is no other's: equal texts are of one component
-    packed = pack(docs, of=F.col(f"`{id_col}`"), mark=F.xxhash64(F.col(f"`{text}`")))
-    left = packed.join(gone, F.col("of").eqNullSafe(F.col("id")) & (packed["mark"] == gone["mark"]), "left_anti")
-    one = left.groupBy("of", "mark").agg(F.first("row").alias("row"))
-    return one.select(*unpacked(docs.columns))
+    return one.join(gone, ["mark", "of"], "left_anti").select(*unpacked(docs.columns))

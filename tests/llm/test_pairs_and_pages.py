@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.llm import html_extract, minhash, topk, warc
+from quirework.llm import groups, html_extract, minhash, topk, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -71,6 +71,42 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert grouped(spark, texts) == near_groups(texts)
 
 
+def test_keep_one_shuffles_whole_rows_once(spark):
+    rows = [("b", "x y z w"), ("a", "x y z w"), ("a", "x y z w"), (None, "x y z w"), (None, "p q r s"), (None, "p q r s"), ("c", None), (None, None), (None, None), ("a", "k l m n")]
+    one = minhash.keep_one(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert sorted(map(tuple, one.collect()), key=str) == sorted([("a", "x y z w"), ("a", "k l m n"), (None, "p q r s"), ("c", None), (None, None)], key=str)
+    top = one._jdf.queryExecution().executedPlan().initialPlan()
+    above = []
+    while "LeftAnti" not in top.simpleString(100):
+        above.append(top.nodeName())
+        top = top.children().apply(0)
+    below, side = [], top.children().apply(0)
+    while side.children().size():
+        below.append(side.nodeName())
+        side = side.children().apply(0)
+    assert [*above, *below].count("Exchange") == 1
+
+
+def test_rounds_of_few_links_make_few_files(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(groups, "cut", lambda df, cut=groups.cut: made.append(cut(df)) or made[-1])
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        chain = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(20, 21)], "a long, b long")
+        assert dict(groups.components(chain).collect()) == {i: 0 for i in range(13)} | {20: 20, 21: 20}
+        assert len(made) > 2 and [x.rdd.getNumPartitions() for x in made[1:]] == [1] * (len(made) - 1)
+        # as many files as the links need
+        monkeypatch.setattr(groups, "FILE_LINKS", 5)
+        made.clear()
+        assert dict(groups.components(chain).collect()) == {i: 0 for i in range(13)} | {20: 20, 21: 20}
+        assert all(1 < x.rdd.getNumPartitions() < 16 for x in made[1:])
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     d = spark.createDataFrame([(5, "a b c d", "en", "s", 0), (5, "a b c d", "en", "s", 0), (None, "a b c d", "en", "s", 0), (None, "own words here now", "en", "s", 0), (2, "x y z", None, None, None)], DOCS)
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in minhash.near_duplicates(d).collect())

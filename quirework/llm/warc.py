@@ -20,8 +20,12 @@ from quirework.session import bound_batches, store
 END = "\r\n\r\n"
 MAGIC = b"WARC/1.1\r\n"
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-#: Rows of an archive, at most, and its bytes, about; a record of more has an archive of its own.
-ROWS_PER_FILE, ARCHIVE_BYTES = 1000, 256 << 20
+#: Rows of an archive, at most, and its bytes, about; a record of more than an eighth of them has an archive of its own.
+ROWS_PER_FILE, ARCHIVE_BYTES = 4096, 64 << 20
+#: Bytes of records that a task of the writer has at least, where there are so many, and bytes of pages that it reads at most, about.
+TASK_BYTES, TASK_PAGES = 16 << 20, 256 << 20
+#: In a local folder, no file of checksums beside an archive: its records have digests, and each such file is made by three more processes.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 _FIELD = re.compile(rb"^([!-9;-~]+):(.*)\r\n", re.M)
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -68,7 +72,8 @@ def write(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", rows_
     A record is a line of text that the record end separates from the next, so that Spark's writer and its committer make the
     archives: a lost task leaves nothing behind. A revisit has its headers alone. Line ends and control characters of a url
     become blanks; a null url has no target. An archive is read as one value, so that its bytes are bounded: records of a like
-    size are written together, as many to an archive as may be of the greatest of them. Empty table: an empty folder.
+    size are written together, as many to an archive as may be of the greatest of them. Sizes that no record has aren't written,
+    and small inputs are written by few tasks: Hadoop's local file system starts four processes a file. Empty table: an empty folder.
     """
     r = plan_records(pages, **how)
     is_revisit = F.col("_type") == "revisit"
@@ -91,20 +96,27 @@ def write(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", rows_
         F.octet_length("_block").cast("string"),
         F.lit(END),
     )
-    size = F.when(is_revisit, 0).otherwise(F.col("_bytes")) + F.coalesce(F.octet_length("_url"), F.lit(0)) + 1024
-    url, payload = how.get("url", "url"), how.get("payload", "html")
-    greatest = pages.agg(F.max(F.coalesce(F.octet_length(F.col(payload).cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col(url)), F.lit(0)))).first()[0] or 0
-    low, rows = -1, rows_per_file
-    while low < greatest + 1024:
-        # the last class, of one record an archive, has no bound
-        high = archive_bytes // rows if rows > 1 else greatest + 1024
+    # sizes are those of the pages, told before they are joined and hashed; the last class, of one record an archive, has no bound
+    counts = [rows_per_file]
+    while counts[-1] > 1:
+        counts.append(max(1, counts[-1] // 8))
+    highs = [archive_bytes // n for n in counts[:-1]] + [2**63 - 1]
+    classes = list(zip([-1, *highs], highs, counts, strict=False))
+    size = F.col("_bytes") + F.coalesce(F.octet_length("_url"), F.lit(0)) + 1024
+    payload, url = F.col(how.get("payload", "html")).cast("string"), F.col(how.get("url", "url"))
+    sizes = pages.select(F.coalesce(F.octet_length(payload), F.lit(0)).cast("long").alias("_bytes"), url.alias("_url")).select(size.alias("n"))
+    found = sizes.agg(*[F.sum(F.when((F.col("n") > low) & (F.col("n") <= high), F.col("n"))) for low, high, _ in classes]).first()
+    total = sum(x or 0 for x in found)
+    for (low, high, rows), held in zip(classes, found, strict=True):
+        if held is None and (total or rows > 1):
+            continue
         lines = r.filter((size > low) & (size <= high)).withColumn("_block", block).select(F.concat(header, F.col("_block")).alias("value"))
-        lines.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", rows).text(path)
-        low, rows = high, max(1, rows // 32)
+        tasks = max((held or 0) // TASK_BYTES, total // TASK_PAGES) + 1
+        lines.coalesce(tasks).write.mode("append").options(**PLAIN_FILES, lineSep=END, maxRecordsPerFile=rows).text(path)
 
 
-def candidates(data: bytes) -> list[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, successor, fields, block) of every place where a record could start, true or not."""
+def candidates(data: bytes) -> list[tuple[int, int, dict[str, str], int]]:
+    """(offset, successor, fields, start of the block) of every place where a record could start, true or not; a block ends 4 bytes before the successor."""
     out = []
     for magic in _MAGIC.finditer(data):
         at = magic.start()
@@ -117,7 +129,7 @@ def candidates(data: bytes) -> list[tuple[int, int, dict[str, str], bytes]]:
                 start = end + 4
                 after = start + int(size)
                 if data[after : after + 4] == b"\r\n\r\n":
-                    out.append((at, after + 4, fields, data[start:after]))
+                    out.append((at, after + 4, fields, start))
     return out
 
 
@@ -175,13 +187,17 @@ def read_candidates(spark: SparkSession, path: str, whole_chains: bool = False)
                     on = reachable(np.array([x[0] for x in found], np.int64), ends)
                     if ends[on].max(initial=0) != len(data):
                         raise ValueError(f"{name}: its records end at byte {ends[on].max(initial=0)} of {len(data)}")
-                for at, after, f, block in found:
+                # the parts of an archive are looked at where they are
+                view = memoryview(data)
+                for at, after, f, start in found:
                     kind = f.get("warc-type")
-                    payload = block.split(b"\r\n\r\n", 1)[-1] if f.get("content-type", "").startswith("application/http") else block
+                    end = after - 4
+                    inner = data.find(b"\r\n\r\n", start, end) if f.get("content-type", "").startswith("application/http") else -1
+                    payload = view[start if inner < 0 else inner + 4 : end]
                     whole = kind != "revisit"
                     number = lambda k, f=f: whole_number(f.get(k))
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if whole else None
-                    rows.append((name, at, after, kind, f.get("warc-record-id"), f.get("warc-refers-to"), f.get("warc-target-uri"), number("x-page-id"), number("x-refers-to-page"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, number("x-payload-length"), len(block), digest, len(payload) if whole else None))
+                    rows.append((name, at, after, kind, f.get("warc-record-id"), f.get("warc-refers-to"), f.get("warc-target-uri"), number("x-page-id"), number("x-refers-to-page"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, number("x-payload-length"), end - start, digest, len(payload) if whole else None))
                 yield pd.DataFrame(rows, columns=names, dtype=object)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

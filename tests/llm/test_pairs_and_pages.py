@@ -198,6 +198,24 @@ def test_archives_are_bounded_by_bytes(spark, tmp_path):
     assert all(s <= 102_000 or f.read_bytes().count(b"WARC-Record-ID") == 1 for f in tmp_path.glob("*/*.txt") if (s := f.stat().st_size)) and len(sizes) > 5
 
 
+def test_archives_are_few_and_small(spark, tmp_path):
+    # every file costs an executor processes, every byte of the largest one memory
+    pages = lambda n, chars, of=8: spark.range(0, n, 1, of).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.col("id").cast("string"), F.expr(f"repeat('x', {chars})")).alias("html"))
+    files = lambda d: [f.stat().st_size for f in (tmp_path / d).glob("*.txt")]
+    warc.write(pages(3000, 1000), str(tmp_path / "a"))
+    assert len(files("a")) == 1
+    # sizes far apart, and between them some that no page has
+    both = pages(2000, 1000).union(pages(3, 300_000).withColumn("page_id", -1 - F.col("page_id")))
+    warc.write(both, str(tmp_path / "b"))
+    assert len(files("b")) == 2
+    got = {r.page_id: (r.payload_bytes, r.record_type) for r in warc.read(spark, str(tmp_path / "b"), whole_chains=True).collect()}
+    assert got == {r.page_id: (len(r.html), "response") for r in both.collect()}
+    warc.write(pages(900, 100_000, 1), str(tmp_path / "c"))
+    assert len(files("c")) == 2 and max(files("c")) <= 64 << 20
+    warc.write(pages(0, 1), str(tmp_path / "d"))
+    assert warc.read(spark, str(tmp_path / "d"), whole_chains=True).count() == 0
+
+
 def test_archives_of_others(spark, tmp_path):
     import gzip
 

@@ -66,8 +66,8 @@ def record_id(col: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-"), cut(13, 4), F.lit("-"), cut(17, 4), F.lit("-"), cut(21, 12), F.lit(">"))
 
 
-def write(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", rows_per_file: int = ROWS_PER_FILE, archive_bytes: int = ARCHIVE_BYTES, **how) -> None:
-    """Archives of a record per row of pages below path, a folder that any of Spark's file systems may hold.
+def write(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", rows_per_file: int = ROWS_PER_FILE, archive_bytes: int = ARCHIVE_BYTES, **how) -> int:
+    """Archives of a record per row of pages below path, a folder that any of Spark's file systems may hold; about how many bytes the pages have.
 
     A record is a line of text that the record end separates from the next, so that Spark's writer and its committer make the
     archives: a lost task leaves nothing behind. A revisit has its headers alone. Line ends and control characters of a url
@@ -113,6 +113,7 @@ def write(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", rows_
         lines = r.filter((size > low) & (size <= high)).withColumn("_block", block).select(F.concat(header, F.col("_block")).alias("value"))
         tasks = max((held or 0) // TASK_BYTES, total // TASK_PAGES) + 1
         lines.coalesce(tasks).write.mode("append").options(**PLAIN_FILES, lineSep=END, maxRecordsPerFile=rows).text(path)
+    return total
 
 
 def candidates(data: bytes) -> list[tuple[int, int, dict[str, str], int]]:
@@ -225,12 +226,13 @@ def read(spark: SparkSession, path: str, whole_chains: bool = False) -> DataFram
 def round_trip(pages: DataFrame, folder: str, **how) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of a record per row, and whether what was read is what was declared.
 
-    It fails if the records of an archive don't reach its end. Empty table: no rows.
+    It fails if the records of an archive don't reach its end. A row is short whatever its page: those of TASK_PAGES are one
+    partition, and so one file where they are written. Empty table: no rows.
     """
     path = f"{folder}/warc-{uuid.uuid4().hex}"
-    write(pages, path, **how)
+    total = write(pages, path, **how)
     r = read(pages.sparkSession, path, whole_chains=True)
-    return r.select(
+    return r.coalesce(total // TASK_PAGES + 1).select(
         "page_id",
         F.coalesce("payload_bytes", "declared_bytes").alias("payload_bytes"),
         F.coalesce("payload_digest", "declared_digest").alias("payload_digest"),

@@ -212,6 +212,7 @@ def test_archives_are_few_and_small(spark, tmp_path):
     assert got == {r.page_id: (len(r.html), "response") for r in both.collect()}
     warc.write(pages(900, 100_000, 1), str(tmp_path / "c"))
     assert len(files("c")) == 2 and max(files("c")) <= 64 << 20
+    assert warc.round_trip(pages(3000, 1000), str(tmp_path / "e"), rows_per_file=100).rdd.getNumPartitions() == 1
     warc.write(pages(0, 1), str(tmp_path / "d"))
     assert warc.read(spark, str(tmp_path / "d"), whole_chains=True).count() == 0
 
